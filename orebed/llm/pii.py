@@ -171,7 +171,8 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
     found = find(docs, rule).select("doc_id", "key", spans().alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["doc_id", "key"]).toDF("_id", "_key", "_spans")
     names = docs.columns
     keyed = docs.withColumn("_row", row_key("doc_id", "text"))
-    both = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left")
+    # texts meet hash tables of spans: they aren't sorted
+    both = keyed.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left")
 
     def put(done: Column, s: Column) -> Column:
         word = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])

@@ -144,7 +144,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that of the least doc_id, of equal ids the one with the least key."""
-    firsts = _classes(docs)[1].select(F.col("first").alias("_first")).distinct()
+    """docs with one row of each class: that of the least doc_id, of equal ids the one with the least key.
+
+    Texts are dealt out by key once, and meet hash tables of keys: they are neither sorted nor aggregated. Only where whole
+    rows repeat, which the keys tell, the repeated ones are reduced to one.
+    """
+    marked, classes = _classes(docs)
+    firsts = written(classes.select(F.col("first").alias("_key")).distinct(), "simhash-firsts")
+    repeated = written(marked.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")).join(firsts, "_key", "left_semi"), "simhash-repeated")
     keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    return keyed.join(firsts, F.col("_key") == F.col("_first"), "left_semi").dropDuplicates(["_key"]).drop("_key")
+    if repeated.isEmpty():
+        return keyed.join(firsts.hint("shuffle_hash"), "_key", "left_semi").drop("_key")
+    single = keyed.join(firsts.join(repeated, "_key", "left_anti").hint("shuffle_hash"), "_key", "left_semi")
+    return single.unionByName(keyed.join(repeated.hint("shuffle_hash"), "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
