@@ -12,9 +12,9 @@ so a state is named by the token that leads to it. The gadget of the merge (u, v
 States are kept as versions that share what they inherit: the gadgets' order numbers say which arcs an older version had, and an
 arc is looked up by going back through the gadgets until both tokens are single bytes. Looked-up arcs are kept in a table.
 
-A pre-split word has one accepting path. Its arcs are found by a second table, the trie of the arc labels: from each place, in
-order, the trie's transitions give the tokens that start there, and the automaton admits those that may follow the token that
-ends there. Time is linear in the word's length. Decoding emits the labels of the arcs.
+A pre-split word has one accepting path. Its arcs are found by a second table, the trie of the arc labels: its transitions give
+the tokens that start at a place, and the automaton admits those that may follow the token that ends there. Each place is
+entered and left once at most, so time is linear in the word's length. Decoding emits the labels of the arcs.
 
 Rows: a null text counts as empty, and an empty text gives no tokens. Equal rows each give a row.
 """
@@ -35,8 +35,10 @@ from orebed.llm.frames import map_columns, pick
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The vocabulary file goes to every executor; larger files are refused.
 MAX_FILE_BYTES = 64 << 20
-#: Words whose tokens a worker keeps, and the longest of them.
-KEPT_WORDS, KEPT_CHARS = 150_000, 64
+#: Words whose tokens a worker keeps in each of two generations, and the longest of them.
+KEPT_WORDS, KEPT_CHARS = 250_000, 64
+#: Arcs whose look-up a worker keeps.
+KEPT_ARCS = 1_000_000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -76,11 +78,21 @@ class Automaton:
                     self.ends.append(-1)
                 node = to
             self.ends[node] = token
+        self.sizes = list(map(len, labels))
+        self.shorter = [-1] * len(labels)  # the longest other token that a token starts with
+        for token in reachable:
+            node = 0
+            for byte in labels[token][:-1]:
+                node = self.next[node << 8 | byte]
+                if self.ends[node] >= 0:
+                    self.shorter[token] = self.ends[node]
 
     def arc(self, state: int, token: int) -> bool:
         """Whether the token may follow the one that names the state."""
         known = self.arcs.get((state, token))
         if known is None:
+            if len(self.arcs) >= KEPT_ARCS:
+                self.arcs.clear()
             known = self.arcs[state, token] = self._look_up(state, token)
         return known
 
@@ -99,26 +111,41 @@ class Automaton:
             else:  # a token after itself: both of these at once
                 before, (t, s) = old, self.parts[s]
 
+    def _longest(self, word: bytes, at: int) -> int:
+        """The longest arc label that starts there."""
+        step, ends, node, found = self.next.get, self.ends, 0, -1
+        for i in range(at, len(word)):
+            node = step(node << 8 | word[i])
+            if node is None:
+                break
+            if ends[node] >= 0:
+                found = ends[node]
+        return found
+
     def path(self, word: bytes) -> list[int]:
-        """The tokens of a word."""
-        n = len(word)
-        last, start = [None] * (n + 1), [0] * (n + 1)
-        last[0] = self.START
-        step, ends, arc = self.next.get, self.ends, self.arc
-        for i in range(n):
-            state, node = last[i], 0
-            for j in range(i, n):
-                node = step(node << 8 | word[j])
-                if node is None:
-                    break
-                token = ends[node]
-                if token >= 0 and last[j + 1] is None and (state == self.START or arc(state, token)):
-                    last[j + 1], start[j + 1] = token, i
-        out = []
-        while n:
-            out.append(last[n])
-            n = start[n]
-        return out[::-1]
+        """The tokens of a word.
+
+        The longest arc is tried first, then shorter ones; where none leads on, the last arc is taken back. A place that was
+        left so is never entered again: the accepted path to a place is the only one.
+        """
+        n, at, out, dead = len(word), 0, [], set()
+        arcs, sizes, state = self.arcs, self.sizes, self.START
+        token = self._longest(word, 0) if n else -1
+        while at < n:
+            if token < 0:
+                dead.add(at)
+                token = out.pop()
+                at -= sizes[token]
+                state = out[-1] if out else self.START
+                token = self.shorter[token]
+                continue
+            if at + sizes[token] not in dead and (state < 0 or (arcs[state, token] if (state, token) in arcs else self.arc(state, token))):
+                out.append(token)
+                state, at = token, at + sizes[token]
+                token = self._longest(word, at)
+            else:
+                token = self.shorter[token]
+        return out
 
 
 class Codec(dict):
@@ -137,15 +164,20 @@ class Codec(dict):
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.automaton = Automaton([bytes(byte[c] for c in name) for name in names], [(number[a], number[b]) for a, b in pairs])
         self.ids = [vocab[name] for name in names]
+        self.packed = [i.to_bytes(4, "little") for i in self.ids]
+        self.older: dict[str, bytes] = {}
         self.added = {t["content"]: t["id"] for t in told.get("added_tokens", [])}
         self.labels = dict(zip(self.ids, self.automaton.labels)) | {i: text.encode() for text, i in self.added.items()}
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.array([self.ids[t] for t in self.automaton.path(word.encode())], "<u4").tobytes()
+        packed = self.older.get(word)
+        if packed is None:
+            packed = b"".join(map(self.packed.__getitem__, self.automaton.path(word.encode())))
         if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= KEPT_WORDS:  # words in use come back from the older generation
+                self.older = dict(self)
                 self.clear()
             self[word] = packed
         return packed
