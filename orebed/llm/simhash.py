@@ -32,6 +32,8 @@ SHINGLE, SEED, BITS = 3, 42, 64
 MAX_DISTANCE = 2
 SEGMENTS = 5
 MAX_BUCKET = 64
+#: Where a key carries its start, above the bits of segments.
+START_AT = 56
 #: Shingles whose bits are summed at once; bounds memory for very long texts.
 CHUNK = 1 << 15
 
@@ -76,10 +78,12 @@ def chain_keys(fp: Column, segments: int = SEGMENTS, distance: int = MAX_DISTANC
     parts = ring(segments)
     keys = []
     for i in range(segments):
-        key = F.lit(i).cast("long")
+        key, bits = F.lit(0).cast("long"), 0
         for low, width in (parts[(i + j) % segments] for j in range(exact_run(segments, distance))):
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(key)
+            key, bits = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))), bits + width
+        if bits > START_AT:
+            raise ValueError(f"{segments} segments for a distance of {distance} make keys of {bits} bits")
+        keys.append(key.bitwiseOR(F.lit(i << START_AT).cast("long")))
     return F.array(*keys)
 
 
@@ -107,25 +111,15 @@ def links(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     index = written(nodes.select("fp", F.explode(chain_keys(F.col("fp"))).alias("key")), "simhash-index")
     hot_keys = written(index.groupBy("key").count().where(F.col("count") > max_bucket).select("key"), "simhash-hot")
     cold = written(index.join(hot_keys, "key", "left_anti"), "simhash-cold")
-    a, b = cold.toDF("fp_a", "key"), cold.toDF("fp_b", "key")
+    a, b = cold.select(F.col("fp").alias("fp_a"), "key"), cold.select(F.col("fp").alias("fp_b"), "key")
     x = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    pairs = a.join(b, "key").where(F.col("fp_a") < F.col("fp_b")).where(within_chains(x, _start("key"))).where(F.bit_count(x) <= MAX_DISTANCE)
+    pairs = a.join(b, "key").where(F.col("fp_a") < F.col("fp_b")).where(within_chains(x, F.shiftright("key", START_AT))).where(F.bit_count(x) <= MAX_DISTANCE)
     hot = index.join(hot_keys, "key", "left_semi").select("fp").distinct()
     balls = hot.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)))).alias("word"))
     near = balls.groupBy("word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
     return pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).union(near.where("a <> b")).distinct()
 
 
-def _start(key: str) -> Column:
-    """The start on the ring that a key carries above its bits."""
-    parts, n = ring(), exact_run()
-    start = F.lit(-1).cast("long")
-    for i in range(SEGMENTS):
-        bits = sum(parts[(i + j) % SEGMENTS][1] for j in range(n))
-        start = F.when(F.shiftright(F.col(key), bits) == i, F.lit(i)).otherwise(start)
-    return start
-
-
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' fingerprints, and for each fingerprint component_id and first (the key of its class's first row)."""
     marked = written(fingerprints(docs), "simhash-docs")
