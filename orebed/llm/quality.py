@@ -63,17 +63,18 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def line_fault(line: str, last: bool, rules: Rules) -> str | None:
-    """The first rule that a line with a word fails: punctuation, navigation or boilerplate."""
+    """The first rule that a line with a word fails: navigation, boilerplate or punctuation."""
     words = line.encode().split()
-    if RUNS.search(line) and sum(1 for w in line.split() if RUNS.search(w)) > rules.max_run_words * len(words):
-        return "punctuation"
-    if not last and len(words) >= rules.end_words and not ENDS.search(line.rstrip(SPACES)):
-        return "punctuation"  # the last line may have been cut short
     if len(words) >= 3 and sum(1 for w in line.split() if w in SEPARATORS) > rules.max_separators * len(words):
         return "navigation"
     if len(words) <= rules.navigation_words and 2 * sum(1 for w in line.lower().split() if w.strip(".,:;!?|()") in NAVIGATION) > len(words):
         return "navigation"
-    return "boilerplate" if BOILERPLATE.search(line) else None
+    if BOILERPLATE.search(line):
+        return "boilerplate"
+    if RUNS.search(line) and sum(1 for w in line.split() if RUNS.search(w)) > rules.max_run_words * len(words):
+        return "punctuation"
+    # the last line may have been cut short
+    return "punctuation" if not last and len(words) >= rules.end_words and not ENDS.search(line.rstrip(SPACES)) else None
 
 
 def clean(text: str, rules: Rules) -> tuple[str, dict[str, int], int]:
