@@ -128,10 +128,10 @@ def by_key(entries: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def key_of_name(name: Column) -> Column:
-    """The key in a listed name of four parts and 18 hex digits, else null; numbered sprite names hold none."""
-    parts = F.split(F.regexp_replace(name, r"\.dat$", ""), "_")
-    last = F.get(parts, F.lit(2))
-    return F.when((F.size(parts) == 3) & last.rlike("^[0-9a-fA-F]{18}$"), F.unhex(last))
+    """The key in a listed name, which has four parts, 18 hex digits in the last, and the ending; else null. Numbered sprite names hold none."""
+    parts = F.split(name, "_")
+    digits = F.regexp_extract(F.get(parts, F.lit(3)), r"^([0-9a-fA-F]{18})\.dat$", 1)
+    return F.when((F.size(parts) == 4) & (digits != ""), F.unhex(digits))
 
 
 def analysed(files: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ MAX_FILE = 512 * 1024 * 1024
 
 
 def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """path, modificationTime, length, content of the files below a path. What isn't selected isn't read."""
+    """path, modificationTime, length, content of the files below a path. What isn't selected isn't read. Spark leaves empty files out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
