@@ -48,4 +48,5 @@ def looked_up(indices: np.ndarray, palette: np.ndarray, clear: int | None = None
     table[: len(palette)] = validated(palette)
     if clear is not None:
         table[clear, 3] = 0
-    return table[indices]
+    # one word a pixel is gathered, not four bytes
+    return table.view(np.uint32).reshape(256)[indices].view(np.uint8).reshape(*indices.shape, 4)

@@ -37,7 +37,8 @@ def _colours(blocks: np.ndarray, opaque: bool) -> np.ndarray:
     table[:, 3, 3] = np.where(four[:, 0], 255, 0)
     bits = blocks[:, 4:8].copy().view("<u4")
     index = bits >> (2 * np.arange(16, dtype=np.uint32))[None, :] & 3
-    return np.take_along_axis(table, index[:, :, None].astype(np.int64), axis=1)
+    words = table.astype(np.uint8).view(np.uint32)[:, :, 0]  # a colour is one word
+    return np.take_along_axis(words, index.astype(np.int64), axis=1).view(np.uint8).reshape(-1, 16, 4)
 
 
 def _alphas(blocks: np.ndarray) -> np.ndarray:
@@ -59,7 +60,7 @@ def _tiled(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     """Blocks of 4 x 4 pixels, row by row, as an image cut to its size."""
     across, down = -(-width // 4), -(-height // 4)
     image = pixels.reshape(down, across, 4, 4, 4).swapaxes(1, 2).reshape(down * 4, across * 4, 4)
-    return np.ascontiguousarray(image[:height, :width]).astype(np.uint8)
+    return np.ascontiguousarray(image[:height, :width])
 
 
 def decode_blocks(kind: str, data: bytes, width: int, height: int, strict: bool = True) -> np.ndarray:
@@ -69,7 +70,7 @@ def decode_blocks(kind: str, data: bytes, width: int, height: int, strict: bool
         raise ValueError(f"{kind} of {width} x {height} has {size} bytes, not {len(data)}")
     whole = data[:size][: len(data[:size]) // BLOCK_BYTES[kind] * BLOCK_BYTES[kind]]
     blocks = np.frombuffer(whole, np.uint8).reshape(-1, BLOCK_BYTES[kind])
-    pixels = np.zeros((size // BLOCK_BYTES[kind], 16, 4), np.uint32)
+    pixels = np.zeros((size // BLOCK_BYTES[kind], 16, 4), np.uint8)
     if kind == "DXT1":
         pixels[: len(blocks)] = _colours(blocks, False)
     else:

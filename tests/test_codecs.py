@@ -33,6 +33,14 @@ def test_sprites_round_trip(data):
     assert (one[sprite.frames[0] == 0, 3] == 0).all() and (one[sprite.frames[0] != 0, 3] == 255).all()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=6), st.integers(1, 20))
+def test_lines_together_as_one_by_one(runs, width):
+    ends = np.cumsum([len(r) for r in runs])
+    got = grp.lines(np.frombuffer(b"".join(runs), np.uint8), ends - [len(r) for r in runs], ends, width)
+    assert got.tolist() == [grp.line(r, width).tolist() for r in runs]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=300))
 def test_parsers_raise_nothing_but_value_errors(data):
