@@ -19,7 +19,7 @@ SYMBOLS = "#*$%&|<>"
 # What navigation bars and page furniture say.
 SEPARATORS = frozenset(["|", "»", "«", "›", "‹", "•", "·", ">", ">>", "/"])
 NAVIGATION = frozenset(["home", "menu", "login", "logout", "next", "previous", "search", "contact", "about", "sitemap", "share", "help", "back", "top", "faq"])
-BOILERPLATE = re.compile(r"(?i)\b(?:enable javascript|javascript is (?:disabled|required)|cookie policy|uses cookies|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|subscribe to our newsletter|click here|read more|skip to (?:main )?content)\b")
+BOILERPLATE = re.compile(r"(?ai)\b(?:enable javascript|javascript is (?:disabled|required)|cookie policy|uses cookies|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|subscribe to our newsletter|click here|read more|skip to (?:main )?content)\b")
 ENDS = re.compile(r"[.!?…:;。！？][\"'”’»)\]*]*$")
 RUNS = re.compile(r"([!?#$%&*<=>@^_|~+])\1")
 
@@ -64,14 +64,14 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 def line_fault(line: str, last: bool, rules: Rules) -> str | None:
     """The first rule that a line with a word fails: navigation, boilerplate or punctuation."""
-    words = line.encode().split()
-    if len(words) >= 3 and sum(1 for w in line.split() if w in SEPARATORS) > rules.max_separators * len(words):
+    words = [w.decode() for w in line.encode().split()]
+    if len(words) >= 3 and sum(w in SEPARATORS for w in words) > rules.max_separators * len(words):
         return "navigation"
-    if len(words) <= rules.navigation_words and 2 * sum(1 for w in line.lower().split() if w.strip(".,:;!?|()") in NAVIGATION) > len(words):
+    if len(words) <= rules.navigation_words and 2 * sum(w.strip(".,:;!?|()").lower() in NAVIGATION for w in words) > len(words):
         return "navigation"
     if BOILERPLATE.search(line):
         return "boilerplate"
-    if RUNS.search(line) and sum(1 for w in line.split() if RUNS.search(w)) > rules.max_run_words * len(words):
+    if RUNS.search(line) and sum(1 for w in words if RUNS.search(w)) > rules.max_run_words * len(words):
         return "punctuation"
     # the last line may have been cut short
     return "punctuation" if not last and len(words) >= rules.end_words and not ENDS.search(line.rstrip(SPACES)) else None

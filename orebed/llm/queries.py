@@ -100,6 +100,30 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_pii, op4_quality, op5_language, op6_chat, op7_simhash, op8_packing, op9_bpe, op10_licenses)}
 
+_LIST = lambda words: ", ".join("'" + w + "'" for w in sorted(words))
+_RUNS = "|".join("[" + ("\\^" if c == "^" else c) + "]{2}" for c in "!?#$%&*<=>@^_|~+")
+_OP4_SQL = rf"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    words AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+    windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+    repeated AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM (SELECT r, i, unnest([0, 1, 2]) AS j FROM windows WHERE n > 1) GROUP BY r),
+    split AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS k FROM docs),
+    lines AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, k = max(k) OVER (PARTITION BY r) AS last, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again
+              FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    judged AS (SELECT *, CASE
+        WHEN len(w) >= 3 AND len(list_filter(w, lambda x: x IN ({_LIST(quality.SEPARATORS)}))) > 0.2::DOUBLE * len(w) THEN 'navigation'
+        WHEN len(w) <= 8 AND 2 * len(list_filter(w, lambda x: lower(trim(x, '.,:;!?|()')) IN ({_LIST(quality.NAVIGATION)}))) > len(w) THEN 'navigation'
+        WHEN regexp_matches(line, '{quality.BOILERPLATE.pattern.replace("(?ai)", "(?i)")}') THEN 'boilerplate'
+        WHEN len(list_filter(w, lambda x: regexp_matches(x, '{_RUNS}'))) > 0.3::DOUBLE * len(w) THEN 'punctuation'
+        WHEN NOT last AND len(w) >= 8 AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '{quality.ENDS.pattern.replace("'", "''")}') THEN 'punctuation' END AS fault FROM lines),
+    by_doc AS (SELECT r, count(*) FILTER (again) AS dup, count(*) FILTER (fault = 'punctuation') AS p, count(*) FILTER (fault = 'navigation') AS n, count(*) FILTER (fault = 'boilerplate') AS b,
+        coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (fault IS NOT NULL), 0) AS lost FROM judged GROUP BY r),
+    counts AS (SELECT r, doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols FROM docs JOIN words USING (r)),
+    whole AS (SELECT *, coalesce(dup, 0) AS d, coalesce(n_repeat_words, 0) AS rep, coalesce(lost, 0) AS gone FROM counts LEFT JOIN by_doc USING (r) LEFT JOIN repeated USING (r))
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(d AS BIGINT) AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words,
+           n_words < 50 OR 100 * rep > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * rep > 50 * n_words) AND 2 * gone <= word_chars AS kept,
+           CAST(coalesce(p, 0) AS BIGINT) AS punctuation_lines, CAST(coalesce(n, 0) AS BIGINT) AS navigation_lines, CAST(coalesce(b, 0) AS BIGINT) AS boilerplate_lines, CAST(gone AS BIGINT) AS lost_chars FROM whole"""
+
 ORACLE_SQL = {
     "op1_token_counts": r"""
         WITH counted AS (SELECT source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words,
@@ -107,6 +131,7 @@ ORACLE_SQL = {
         each AS (SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM counted WHERE words >= 5
                  UNION ALL SELECT source, lang, 'bytes-1', bytes FROM counted WHERE words >= 5)
         SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM each GROUP BY ALL""",
+    "op4_quality": _OP4_SQL,
     "op6_chat": r"""
         WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(coalesce(turn // 256, -1) AS BIGINT) AS segment FROM conversations),
         speakers AS (SELECT DISTINCT conv_id, segment, role AS assistant FROM turns WHERE role <> 'system'),
