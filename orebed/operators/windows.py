@@ -9,8 +9,25 @@ from pyspark.sql import functions as F
 
 
 def next_greater(offset: str, *partition: str) -> Column:
-    """The least strictly greater offset in the partition (equal offsets share it), null at the end. For whole-number offsets."""
-    return F.min(offset).over(Window.partitionBy(*partition).orderBy(offset).rangeBetween(1, Window.unboundedFollowing))
+    """The least strictly greater offset in the partition (equal offsets share it), null at the end. For whole-number offsets.
+
+    In descending order the greater offsets come first, so the frame only grows and each row adds to it once; the same frame in
+    ascending order is made anew for each row.
+    """
+    return F.min(offset).over(Window.partitionBy(*partition).orderBy(F.desc(offset)).rangeBetween(Window.unboundedPreceding, -1))
+
+
+def next_offsets(offsets: DataFrame, partition: str, offset: str, bits: int = 20) -> DataFrame:
+    """offsets (distinct) with next, the next greater offset in the partition, for partitions of any size.
+
+    Offsets are sorted within ranges of 2^bits; the last of a range takes the first of the next range that has any. Of 32-bit
+    offsets a partition has 4096 ranges at most, and only a row for each of them meets in one task.
+    """
+    ranged = offsets.withColumn("_range", F.shiftright(F.col(offset).cast("long"), bits))
+    inside = ranged.withColumn("_next", F.lead(offset).over(Window.partitionBy(partition, "_range").orderBy(offset)))
+    firsts = ranged.groupBy(partition, "_range").agg(F.min(offset).alias("_first"))
+    after = firsts.select(partition, "_range", F.lead("_first").over(Window.partitionBy(partition).orderBy("_range")).alias("_after"))
+    return inside.join(after, [partition, "_range"]).select(*offsets.columns, F.coalesce("_next", "_after").alias("next"))
 
 
 def inferred_size(offset: str, *partition: str, limit: int = 50_000_000) -> Column:

@@ -16,6 +16,7 @@ MARK, KEY_BYTES, DATA_FILES, HEADER = 7, 9, 6, 24
 EXPECTED_INDEXES, EXPECTED_BYTES, TOLERANCE = 16, 5_687_091_200, 10.0
 JPEG_SIZE, DENSE_SIZE, PLAIN_SIZE, LEAST_SIZE = 50_000, 32_768, 8_192, 4_096
 SAMPLE_BYTES = 1024
+MAX_GAP = 50_000_000
 
 ENTRIES = "idx_file string, bucket int, version long, entry_pos int, key binary, data_file int, offset long"
 PARSED = f"{ENTRIES}, error string"
@@ -93,9 +94,10 @@ def header_size(header: Column) -> Column:
 def sized(entries: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """entries with size: up to the next greater offset in the data file, else by the header (data_file, offset, header), else the least.
 
-    A data file's distinct offsets are few beside its bytes; they are what is sorted, so a file is one group of at most 2^32 / 16.
+    Distinct offsets are sorted within ranges, not whole data files, of which an archive has few.
     """
-    offsets = entries.select("data_file", "offset").distinct().withColumn("gap", windows.inferred_size("offset", "data_file"))
+    gap = F.col("next") - F.col("offset")
+    offsets = windows.next_offsets(entries.select("data_file", "offset").distinct(), "data_file", "offset").select("data_file", "offset", F.when(gap < MAX_GAP, gap).alias("gap"))
     out = entries.join(offsets, ["data_file", "offset"])
     if headers is None:
         guess = F.lit(LEAST_SIZE).cast("long")

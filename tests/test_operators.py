@@ -98,6 +98,16 @@ def test_next_offsets_with_ties(spark):
     assert got == sorted([(1, 10, 30, 20), (1, 10, 30, 20), (1, 30, 90_000_000, None), (1, 30, 90_000_000, None), (1, 90_000_000, None, None), (2, 5, None, None)], key=str)
 
 
+def test_next_offsets_by_ranges(spark):
+    import random
+
+    r = random.Random(1)
+    rows = sorted({(r.randrange(3), r.choice([r.randrange(1 << 32), r.randrange(5000)])) for _ in range(400)})
+    want = {(f, o): min((p for g, p in rows if g == f and p > o), default=None) for f, o in rows}
+    got = windows.next_offsets(spark.createDataFrame(rows, "f int, o long"), "f", "o", bits=12).collect()
+    assert {(x.f, x.o): x.next for x in got} == want
+
+
 def test_frame_ends_differ_from_next_offsets(spark):
     df = spark.createDataFrame([("a", 0, 10, 99), ("a", 1, 50, 99), ("a", 2, 30, 99), ("a", 3, 40, 99)], "file string, frame_idx int, offset int, length int")
     assert {r.frame_idx: r.end for r in windows.frame_ends(df).collect()} == {0: 50, 1: 99, 2: 40, 3: 99}
