@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def hex_groups(content: Column, digits: int = 2) -> Column:
+    """The hex digits of bytes in groups, in one pass: bytes of 2, pixels of 8."""
+    return F.regexp_extract_all(F.hex(content), F.lit(f"[0-9A-F]{{{digits}}}"), F.lit(0))
+
+
 def luminance(r: Column, g: Column, b: Column) -> Column:
     """BT.601 in integers, rounded."""
     return F.floor((299 * r.cast("long") + 587 * g + 114 * b + 500) / 1000).cast("long")

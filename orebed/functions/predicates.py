@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orebed.functions.pixels import hex_groups
+
 log = logging.getLogger(__name__)
 
 INCLUDE, EXCLUDE, SKIP = "Include", "Exclude", "Skip"
@@ -158,6 +160,4 @@ def tileset_of(era: Column) -> Column:
 
 def compressed_like(content: Column) -> Column:
     """At least 64 bytes, and over 0.8 x 256 different ones among the first 1024."""
-    head = F.hex(F.substring(content, 1, 1024))
-    pairs = F.transform(F.sequence(F.lit(0), F.least(F.length(content), F.lit(1024)) - 1), lambda i: F.substring(head, 2 * i + 1, F.lit(2)))
-    return F.when(F.length(content) >= 64, F.size(F.array_distinct(pairs)) > 0.8 * 256).otherwise(False)
+    return F.when(F.length(content) >= 64, F.size(F.array_distinct(hex_groups(F.substring(content, 1, 1024)))) > 0.8 * 256).otherwise(False)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from orebed.functions.pixels import hex_groups
 from orebed.functions.predicates import EXCLUDE, INCLUDE, SKIP
 
 
@@ -29,9 +30,7 @@ def byte_entropy(content: pd.Series) -> pd.Series:
 
 def byte_histogram(df: DataFrame, key: str, content: str) -> DataFrame:
     """key, byte, n: the relational form, a row for each byte value that occurs."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("_hex") - 1, F.lit(2)), lambda i: F.substring("_hex", i, F.lit(2)))
-    hexed = df.select(key, F.hex(content).alias("_hex")).where(F.length("_hex") > 0)
-    return hexed.select(key, F.explode(pairs).alias("byte")).groupBy(key, "byte").agg(F.count("*").alias("n"))
+    return df.select(key, F.explode(hex_groups(F.col(content))).alias("byte")).groupBy(key, "byte").agg(F.count("*").alias("n"))
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -66,8 +65,8 @@ def roll_up(df: DataFrame, passed: str = "passed") -> DataFrame:
 
 
 def distinct_units(text: Column, limit: int = 1024) -> Column:
-    """How many different characters (of a binary column: bytes) the first `limit` hold."""
-    return F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length(text), F.lit(limit)), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)))))
+    """How many different characters the first `limit` hold; 1 of an empty text."""
+    return F.greatest(F.size(F.array_distinct(F.regexp_extract_all(F.substring(text, 1, limit), F.lit("(?s)."), F.lit(0)))), F.lit(1))
 
 
 def fully_found(df: DataFrame, found: str, required: bool = False) -> tuple[int, int]:

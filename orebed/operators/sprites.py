@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from orebed.codecs import anim, grp, images, palette, png, textures
+from orebed.functions.pixels import hex_groups
 
 _ERROR = "error string"
 PIXELS = "width int, height int, rgba binary"
@@ -263,6 +264,4 @@ def palette_rows(spark, name: str, colours: np.ndarray) -> DataFrame:
 
 def unpacked_pixels(frames: DataFrame, *keys: str) -> DataFrame:
     """keys, pos, idx: the relational form of index frames, a row for each pixel."""
-    hexed = F.hex("indices")
-    pairs = F.transform(F.sequence(F.lit(0), F.length("indices") - 1), lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
-    return frames.where(F.length("indices") > 0).select(*keys, F.posexplode(pairs).alias("pos", "idx"))
+    return frames.select(*keys, F.posexplode(hex_groups(F.col("indices"))).alias("pos", "_hex")).select(*keys, "pos", F.conv("_hex", 16, 10).cast("int").alias("idx"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebed.codecs import images, textures
+from orebed.functions.pixels import hex_groups
 from orebed.functions.predicates import tileset_of
 from orebed.operators import lookups, windows
 from orebed.operators.sprites import PIXELS, decoded
@@ -211,6 +212,6 @@ def tile_atlas(files: DataFrame, side: int = ATLAS_TILE_SIDE, columns: int = ima
 
 def alpha_stats(atlases: DataFrame) -> DataFrame:
     """path, transparent, semi, opaque: counts of pixels by alpha, by bytes of the hex form."""
-    alphas = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda i: F.substring(F.hex("rgba"), 8 * i + 7, F.lit(2)))
+    alphas = F.transform(hex_groups(F.col("rgba"), 8), lambda p: F.substring(p, 7, 2))
     count = lambda test: F.size(F.filter("_a", test)).cast("long")
     return atlases.select("path", alphas.alias("_a")).select("path", count(lambda a: a == "00").alias("transparent"), count(lambda a: (a != "00") & (a != "FF")).alias("semi"), count(lambda a: a == "FF").alias("opaque"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orebed.codecs import images, png
+from orebed.functions.pixels import hex_groups
 from orebed.operators.aggregates import roll_up
 from orebed.operators.lookups import baseline_status
 
@@ -91,8 +92,7 @@ def difference_pictures(pairs: DataFrame, gap: int | None = None) -> DataFrame:
 
 def pixel_rows(pictures: DataFrame) -> DataFrame:
     """name, x, y, pixel (hex): the relational form of decoded pictures (name, width, height, rgba)."""
-    pixels = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda i: F.substring(F.hex("rgba"), 8 * i + 1, F.lit(8)))
-    each = pictures.select("name", "width", F.posexplode(pixels).alias("pos", "pixel"))
+    each = pictures.select("name", "width", F.posexplode(hex_groups(F.col("rgba"), 8)).alias("pos", "pixel"))
     return each.select("name", (F.col("pos") % F.col("width")).alias("x"), F.floor(F.col("pos") / F.col("width")).alias("y"), "pixel")
 
 

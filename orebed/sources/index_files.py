@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orebed.functions.pixels import hex_groups
 from orebed.operators import lookups, windows
 from orebed.operators.aggregates import byte_entropy
 
@@ -80,12 +81,11 @@ def header_size(header: Column) -> Column:
     number = lambda at: F.conv(F.hex(F.substring(header, at, 4)), 16, 10).cast("long")
     png = F.startswith(header, F.lit(bytes.fromhex("89504E470D0A1A0A"))) & (F.substring(header, 13, 4) == F.lit(b"IHDR")) & (F.length(header) >= 24)
     estimate = F.floor(number(17) * number(21) * 4 / 8) + 1024
-    pairs = F.transform(F.sequence(F.lit(0), F.least(F.length(header), F.lit(16)) - 1), lambda i: F.substring(F.hex(header), 2 * i + 1, F.lit(2)))
     return (
         F.when(F.coalesce(F.length(header), F.lit(0)) < 8, LEAST_SIZE)
         .when(png & (estimate < 10_000_000), F.least(estimate, F.lit(100_000)))
         .when(F.startswith(header, F.lit(b"\xff\xd8")), JPEG_SIZE)
-        .when(F.size(F.array_distinct(pairs)) > 12, DENSE_SIZE)
+        .when(F.size(F.array_distinct(hex_groups(F.substring(header, 1, 16)))) > 12, DENSE_SIZE)
         .otherwise(PLAIN_SIZE)
         .cast("long")
     )
