@@ -124,6 +124,44 @@ _OP4_SQL = rf"""
            n_words < 50 OR 100 * rep > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * rep > 50 * n_words) AND 2 * gone <= word_chars AS kept,
            CAST(coalesce(p, 0) AS BIGINT) AS punctuation_lines, CAST(coalesce(n, 0) AS BIGINT) AS navigation_lines, CAST(coalesce(b, 0) AS BIGINT) AS boilerplate_lines, CAST(gone AS BIGINT) AS lost_chars FROM whole"""
 
+_PLACED = """
+    {name}_each AS (SELECT {keys}, unnest(m) AS w, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM {source} WHERE len(m) > 0),
+    {name} AS (SELECT {keys}, w, CAST(sum(length(gap) + length(w)) OVER (PARTITION BY {keys} ORDER BY i) AS BIGINT) AS e FROM {name}_each)"""
+# the base patterns without what spares retries; matches are the same
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+){3}",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_RAW = " UNION ALL ".join(f"SELECT r, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM docs" for rank, (kind, p) in enumerate(_PLAIN.items()))
+_OP3_SQL = rf"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    raw AS ({_RAW}), {_PLACED.format(name="placed", source="raw", keys="r, kind, rank")},
+    numbered AS (SELECT *, regexp_replace(w, '[^0-9]', '', 'g') AS d FROM placed),
+    base AS (SELECT r, e - length(w) AS s, rank, e, kind, kind || ':' || CASE WHEN kind IN ('email', 'ip') THEN lower(w) ELSE d END AS entity FROM numbered WHERE CASE kind
+        WHEN 'email' THEN true WHEN 'ip' THEN regexp_full_match(w, '{_PART}\.{_PART}\.{_PART}\.{_PART}') WHEN 'phone' THEN length(d) BETWEEN 10 AND 15
+        ELSE length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda k: CASE WHEN k % 2 = 0 THEN CAST(d[length(d) - k] AS INT)
+            WHEN CAST(d[length(d) - k] AS INT) > 4 THEN 2 * CAST(d[length(d) - k] AS INT) - 9 ELSE 2 * CAST(d[length(d) - k] AS INT) END)) % 10 = 0 END),
+    cut AS (SELECT r, entity, s, e, substr(t, greatest(s - 80, 0) + 1, least(s, 80)) AS x, substr(t, e + 1, 80) AS y FROM base JOIN docs USING (r)),
+    sides AS (SELECT row_number() OVER () AS side, * FROM (
+        SELECT r, entity, s - length(x) AS at_, x FROM (SELECT r, entity, s, CASE WHEN s > 80 THEN regexp_replace(x, '^[\p{{L}}\p{{N}}]+', '') ELSE x END AS x FROM cut)
+        UNION ALL SELECT r, entity, e, CASE WHEN length(y) = 80 THEN regexp_replace(y, '[\p{{L}}\p{{N}}]+$', '') ELSE y END FROM cut)),
+    found AS (SELECT side, regexp_extract_all(x, '[\p{{L}}\p{{N}}]{{3,}}') AS m, regexp_split_to_array(x, '[\p{{L}}\p{{N}}]{{3,}}') AS g FROM sides), {_PLACED.format(name="words", source="found", keys="side")},
+    near AS (SELECT DISTINCT r, entity, lower(w) AS term, at_ + e - length(w) AS ts, at_ + e AS te FROM words JOIN sides USING (side)),
+    open AS (SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = n.r AND b.s < n.te AND n.ts < b.e)),
+    both_ AS (SELECT entity, term, count(DISTINCT r) AS nb FROM open GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+    entities AS (SELECT entity, count(DISTINCT r) AS ne FROM base GROUP BY ALL),
+    terms AS (SELECT term, count(*) AS nt FROM (SELECT r, unnest(list_distinct(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]{{3,}}'))) AS term FROM docs) GROUP BY term),
+    telling AS (SELECT entity, term, log2(nb * n::DOUBLE / (nt * ne)) / log2(n::DOUBLE / ne) AS disclosure FROM both_ JOIN entities USING (entity) JOIN terms USING (term), (SELECT count(*) AS n FROM docs) WHERE ne < n),
+    hits AS (SELECT r, ts, te, max(disclosure) AS disclosure FROM open JOIN telling USING (entity, term) WHERE disclosure >= 0.8 GROUP BY ALL),
+    spans AS (SELECT r, s, rank, e, kind FROM base UNION ALL SELECT r, ts, 4, te, CASE WHEN disclosure >= 0.9 THEN 'removed' ELSE 'generalised' END FROM hits),
+    told AS (SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < 4) AS base_spans,
+        count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, count(*) FILTER (rank = 3) AS n3, count(*) FILTER (rank = 4) AS n4 FROM spans GROUP BY r)
+    SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_email, CAST(coalesce(n1, 0) AS BIGINT) AS n_ip, CAST(coalesce(n2, 0) AS BIGINT) AS n_card, CAST(coalesce(n3, 0) AS BIGINT) AS n_phone,
+           sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n4, 0) AS BIGINT) AS n_terms FROM docs LEFT JOIN told USING (r)"""
+
 ORACLE_SQL = {
     "op1_token_counts": r"""
         WITH counted AS (SELECT source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words,
@@ -131,6 +169,7 @@ ORACLE_SQL = {
         each AS (SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM counted WHERE words >= 5
                  UNION ALL SELECT source, lang, 'bytes-1', bytes FROM counted WHERE words >= 5)
         SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM each GROUP BY ALL""",
+    "op3_pii": _OP3_SQL,
     "op4_quality": _OP4_SQL,
     "op6_chat": r"""
         WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(coalesce(turn // 256, -1) AS BIGINT) AS segment FROM conversations),
