@@ -22,9 +22,9 @@ def number_text(value: float) -> str:
 def metadata(sprites: DataFrame, pixels_per_unit: float = 100.0) -> DataFrame:
     """sprites (name, grp_width, grp_height, texture_width, texture_height, frames) with json, in the importers' key order.
 
-    frames: array of (index, x, y, width, height, offset_x, offset_y).
+    frames: array of (index, x, y, width, height, x_offset, y_offset).
     """
-    frame = lambda f: F.format_string('    {"index": %d, "x": %d, "y": %d, "width": %d, "height": %d, "offsetX": %d, "offsetY": %d}', *(f[c] for c in ("index", "x", "y", "width", "height", "offset_x", "offset_y")))
+    frame = lambda f: F.format_string('    {"index": %d, "x": %d, "y": %d, "width": %d, "height": %d, "offsetX": %d, "offsetY": %d}', *(f[c] for c in ("index", "x", "y", "width", "height", "x_offset", "y_offset")))
     head = F.format_string('{\n  "name": "%s",\n  "frameCount": %d,\n  "grpWidth": %d,\n  "grpHeight": %d,\n  "textureWidth": %d,\n  "textureHeight": %d,\n', F.regexp_replace("name", r"(\.anim)+$", ""), F.size("frames"), "grp_width", "grp_height", "texture_width", "texture_height")
     body = F.concat(F.lit(f'  "pixelsPerUnit": {number_text(pixels_per_unit)},\n  "frames": [\n'), F.array_join(F.transform("frames", frame), ",\n"), F.lit("\n  ]\n}"))
     return sprites.withColumn("json", F.concat(head, body))

@@ -155,7 +155,7 @@ def test_overwrite_policies(spark, tmp_path):
 
 def test_metadata(spark):
     frames = [(0, 1, 2, 3, 4, -5, 6)]
-    df = spark.createDataFrame([("m.anim", 64, 32, 128, 256, frames)], "name string, grp_width int, grp_height int, texture_width int, texture_height int, frames array<struct<index:int,x:int,y:int,width:int,height:int,offset_x:int,offset_y:int>>")
+    df = spark.createDataFrame([("m.anim", 64, 32, 128, 256, frames)], "name string, grp_width int, grp_height int, texture_width int, texture_height int, frames array<struct<index:int,x:int,y:int,width:int,height:int,x_offset:int,y_offset:int>>")
     text = sinks.metadata(df).first().json
     assert json.loads(text) == {"name": "m", "frameCount": 1, "grpWidth": 64, "grpHeight": 32, "textureWidth": 128, "textureHeight": 256, "pixelsPerUnit": 100, "frames": [{"index": 0, "x": 1, "y": 2, "width": 3, "height": 4, "offsetX": -5, "offsetY": 6}]}
     assert '"pixelsPerUnit": 100,' in text and sinks.number_text(1.5) == "1.5"
