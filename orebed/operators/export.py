@@ -17,7 +17,7 @@ def stem(path: Column) -> Column:
 
 
 def _chosen(containers: DataFrame, names: Sequence[str]) -> DataFrame:
-    """path, role, dds of the named layers that are there: by the header's names in any case, else by convention."""
+    """path, role, dds of the named layers that are there: by the header's names in any case, else by their usual place."""
     wanted = containers.select("path", "names", "layers", F.explode(F.array(*map(F.lit, names))).alias("role"))
     at = layer_index(F.col("names"), F.col("role")).cast("int")
     found = wanted.select("path", "role", F.get("layers", at).alias("l"))
@@ -29,7 +29,9 @@ def exported(containers: DataFrame, extra_layers: Sequence[str] = (), team_colou
 
     The diffuse picture loses its team colours if their mask is exported beside it.
     """
-    main = _chosen(containers, ["diffuse", "teamcolor"] if team_colour else ["diffuse"])
+    main = containers.select("path", F.get("layers", F.lit(0)).alias("l")).where(F.length("l.data") > 0).select("path", F.lit("diffuse").alias("role"), F.col("l.data").alias("dds"))
+    if team_colour:
+        main = main.unionByName(sprites.team_colour_layer(containers).select("path", F.lit("teamcolor").alias("role"), "dds"))
     pictures = sprites.team_coloured(main).select("path", F.col("kind").alias("role"), "width", "height", "rgba")
     if extra_layers:
         others = _chosen(containers, list(extra_layers)).select(F.to_json(F.struct("path", "role")).alias("path"), F.col("dds").alias("content"))

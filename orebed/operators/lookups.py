@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Keyword targets become part of the expression: so many at most.
 MAX_TARGETS = 10_000
-#: The layers' conventional order.
-LAYERS = ("diffuse", "bright", "teamcolor", "normal", "specular", "ao_depth", "emissive")
+#: Where a layer is looked for if the header doesn't name it.
+LAYERS = ("diffuse", "teamcolor", "normal", "specular", "emissive", "ao")
 
 
 def named(df: DataFrame, names: DataFrame, id: str, name: str, numbered: Column) -> DataFrame:

@@ -99,7 +99,7 @@ class Layout:
 
 
 def installations(listing: DataFrame, layout: Layout) -> DataFrame:
-    """root, kind (Indexed, Packed or Mixed), version (Remastered, Classic or Unknown), valid: one row for each root that is either kind.
+    """root, kind (Indexed, Packed or Mixed), version (Newer, Older or Unknown), valid: one row for each root that is either kind.
 
     listing: root and path (below the root, with slashes).
     """
@@ -114,15 +114,15 @@ def installations(listing: DataFrame, layout: Layout) -> DataFrame:
     )
     indexed = F.col("idx") & F.col("data")
     kind = F.when(indexed & F.col("packed"), "Mixed").when(indexed, "Indexed").when(F.col("packed"), "Packed")
-    older = F.when(F.col("older"), "Classic").otherwise("Unknown")
-    version = F.when(F.col("kind") == "Indexed", "Remastered").when(F.col("kind") == "Packed", older).otherwise(F.when(F.col("newer"), "Remastered").otherwise(older))
+    older = F.when(F.col("older"), "Older").otherwise("Unknown")
+    version = F.when(F.col("kind") == "Indexed", "Newer").when(F.col("kind") == "Packed", older).otherwise(F.when(F.col("newer"), "Newer").otherwise(older))
     valid = F.when(F.col("kind") == "Packed", F.col("archives") == len(layout.older_archives)).otherwise(F.col("idx") & F.col("blobs"))
     return facts.withColumn("kind", kind).where("kind is not null").select("root", "kind", version.alias("version"), valid.alias("valid"))
 
 
 def best_installation(found: DataFrame) -> DataFrame:
     """The first valid one of the newer version, else the first valid one."""
-    return found.where("valid").orderBy(F.when(F.col("version") == "Remastered", 0).otherwise(1), "root").limit(1)
+    return found.where("valid").orderBy(F.when(F.col("version") == "Newer", 0).otherwise(1), "root").limit(1)
 
 
 def located_root(override: str | None, candidates: Sequence[str], environment: str | None = None) -> str:

@@ -30,7 +30,7 @@ def metadata(sprites: DataFrame, pixels_per_unit: float = 100.0) -> DataFrame:
     return sprites.withColumn("json", F.concat(head, body))
 
 
-def unity_rects(frames: DataFrame, sheet_height: Column) -> DataFrame:
+def bottom_up_rects(frames: DataFrame, sheet_height: Column) -> DataFrame:
     """frames with y counted from below, as importers that start there want it."""
     return frames.withColumn("y_up", sheet_height - F.col("y") - F.col("height"))
 

@@ -102,7 +102,7 @@ def test_installations(spark, tmp_path, monkeypatch):
     rows = [("n", p) for p in ("Data/data/1.idx", "Data/data/data.000")] + [("m", p) for p in ("Data/data/1.idx", "Data/data/data.000", "Data/Old.MPQ", "game.exe")] + [("o", p) for p in ("Data/one.mpq", "Data/two.mpq")] + [("p", "Data/one.mpq"), ("q", "Data/x")]
     layout = listing.Layout(("game.exe",), ("game.exe",), ("Data/one.mpq", "Data/two.mpq"))
     found = listing.installations(spark.createDataFrame(rows, "root string, path string"), layout)
-    assert {r.root: (r.kind, r.version, r.valid) for r in found.collect()} == {"n": ("Indexed", "Remastered", True), "m": ("Mixed", "Remastered", True), "o": ("Packed", "Classic", True), "p": ("Packed", "Classic", False)}
+    assert {r.root: (r.kind, r.version, r.valid) for r in found.collect()} == {"n": ("Indexed", "Newer", True), "m": ("Mixed", "Newer", True), "o": ("Packed", "Older", True), "p": ("Packed", "Older", False)}
     assert listing.best_installation(found).first().root == "m" and listing.best_installation(found.where("kind = 'Packed'")).first().root == "o"
     (tmp_path / "g" / "Data").mkdir(parents=True)
     assert listing.located_root("/x", []) == "/x" and listing.located_root(None, ["/none", str(tmp_path / "g")]) == str(tmp_path / "g")
@@ -159,7 +159,7 @@ def test_metadata(spark):
     text = sinks.metadata(df).first().json
     assert json.loads(text) == {"name": "m", "frameCount": 1, "grpWidth": 64, "grpHeight": 32, "textureWidth": 128, "textureHeight": 256, "pixelsPerUnit": 100, "frames": [{"index": 0, "x": 1, "y": 2, "width": 3, "height": 4, "offsetX": -5, "offsetY": 6}]}
     assert '"pixelsPerUnit": 100,' in text and sinks.number_text(1.5) == "1.5"
-    rects = sinks.unity_rects(df.select(F.explode("frames").alias("f")).select("f.*"), F.lit(256)).first()
+    rects = sinks.bottom_up_rects(df.select(F.explode("frames").alias("f")).select("f.*"), F.lit(256)).first()
     assert rects.y_up == 250 and sinks.clip_times(df.select(F.explode("frames").alias("f")).select("f.*"), 12).first().time == 0
 
 

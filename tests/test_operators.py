@@ -148,7 +148,7 @@ def test_references_layers_and_palettes(spark):
     rows = spark.createDataFrame([(0, None, "a"), (1, 0, None), (2, 5, None), (3, 3, None)], "i int, ref int, v string")
     assert {r.i: r.v for r in lookups.back_referenced(rows, "i", "ref", ["v"]).collect()} == {0: "a", 1: "a", 2: None, 3: None}
     names = F.array(F.lit("Diffuse"), F.lit("TeamColor"))
-    assert one(spark, lookups.layer_index(names, F.lit("teamcolor"))) == 1 and one(spark, lookups.layer_index(names, F.lit("normal"))) == 3 and one(spark, lookups.layer_index(names, F.lit("zzz"))) is None
+    assert one(spark, lookups.layer_index(names, F.lit("teamcolor"))) == 1 and one(spark, lookups.layer_index(names, F.lit("normal"))) == 2 and one(spark, lookups.layer_index(names, F.lit("zzz"))) is None
     palette = spark.createDataFrame([(1, 9, 8, 7, 6)], "idx int, r int, g int, b int, a int")
     got = lookups.coloured(spark.createDataFrame([(0, 1), (1, 200)], "pos int, idx int"), palette).orderBy("pos").collect()
     assert [tuple(r) for r in got] == [(0, 1, 9, 8, 7, 6), (1, 200, 255, 0, 255, 255)]
