@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from orebed.llm.frames import pick
 from orebed.session import written
 
+#: More than what rounding does to a cosine.
+SLACK = 1e-12
+
 
 @dataclass(frozen=True)
 class Search:
@@ -101,8 +104,9 @@ class Index:
                     found = found[self.ids[found] != own[q]]
                     cosines = self.vectors[found] @ queries[q]
                     if len(found) > k:  # whatever ties with the k-th stays
-                        keep = cosines >= np.partition(cosines, -k)[-k]
-                        found, cosines = found[keep], cosines[keep]
+                        found = found[cosines >= np.partition(cosines, -k)[-k] - SLACK]
+                    # summed row by row: a product of matrices rounds equal vectors differently by their place, which breaks ties
+                    cosines = (self.vectors[found] * queries[q]).sum(axis=1)
                     best[q] = sorted([*best[q], *zip((-cosines).tolist(), self.ids[found].tolist())])[:k]
                 done = len(best[q]) == k and sqrt(max(0.0, 2 + 2 * best[q][-1][0])) <= radius
                 if not done and (low[q].any() or (high[q] < n).any()):  # else the windows cover all

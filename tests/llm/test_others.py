@@ -84,6 +84,15 @@ def test_small_blocks_give_whole_results(spark):
     assert sum(len(set(got[q]) & {j for _, j in want[q]}) for q in want) >= 0.95 * 5 * len(want)
 
 
+def test_equal_vectors_tie_wherever_they_stand():
+    r = np.random.default_rng(3)
+    for copies in range(7, 40, 3):
+        points = neighbours.unit(np.concatenate([r.standard_normal((100, 64)), np.repeat(r.standard_normal((1, 64)), copies, 0)]))
+        ids = np.arange(len(points))
+        found = neighbours.Index(points, ids, neighbours.Search()).nearest(points[[100, 105]], ids[[100, 105]], 5)
+        assert [[i for _, i in rows] for rows in found] == [[101, 102, 103, 104, 105], [100, 101, 102, 103, 104]]
+
+
 # chat
 
 
