@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from orebed.codecs import anim, grp, images, palette, png, textures
+from orebed.functions.batches import decoded_frames
 from orebed.functions.pixels import hex_groups
 
 _ERROR = "error string"
@@ -30,14 +31,14 @@ def decoded(files: DataFrame, schema: str, decode: Callable[[bytes], list[tuple]
     # whole numbers keep their type beside the empty cells of rejects
     kinds = {c.split()[0]: {"int": "Int32", "long": "Int64"}[c.split()[1]] for c in schema.split(", ") if c.split()[1] in ("int", "long")}
 
+    def of_file(path: str, content: bytes) -> list[tuple]:
+        try:
+            return [(path, *row, None) for row in decode(content)]
+        except (ValueError, struct.error) as e:
+            return [(path, *([None] * len(names)), str(e))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows = [(path, *row, None) for row in decode(bytes(content))]
-                except (ValueError, struct.error) as e:
-                    rows = [(path, *([None] * len(names)), str(e))]
-                yield pd.DataFrame(rows, columns=["path", *names, "error"]).astype(kinds)
+        return decoded_frames(batches, of_file, ["path", *names, "error"], kinds)
 
     both = files.select("path", "content").mapInPandas(run, f"path string, {schema}, {_ERROR}")
     return both.where("error is null").drop("error"), both.where("error is not null").select("path", "error")
@@ -72,18 +73,17 @@ def layered_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     columns = ["version", "names", "width", "height", "layers", "frames"]
 
+    def of_file(path: str, content: bytes) -> list[tuple]:
+        try:
+            a = anim.parse_layered(content)
+        except ValueError as e:
+            return [(path, *[None] * len(columns), str(e))]
+        layers = [{"index": x.index, "name": x.name, "width": x.width, "height": x.height, "data": x.data} for x in a.layers]
+        frames = [{"index": i, "x": f.x, "y": f.y, "x_offset": f.x_offset, "y_offset": f.y_offset, "width": f.width, "height": f.height} for i, f in enumerate(a.frames)]
+        return [(path, a.version, a.names, a.width, a.height, layers, frames, None)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    a = anim.parse_layered(bytes(content))
-                    row = (
-                        a.version, a.names, a.width, a.height, [{"index": x.index, "name": x.name, "width": x.width, "height": x.height, "data": x.data} for x in a.layers],
-                        [{"index": i, "x": f.x, "y": f.y, "x_offset": f.x_offset, "y_offset": f.y_offset, "width": f.width, "height": f.height} for i, f in enumerate(a.frames)], None,
-                    )
-                except ValueError as e:
-                    row = (*[None] * 6, str(e))
-                yield pd.DataFrame([(path, *row)], columns=["path", *columns, "error"]).astype({"version": "Int32", "width": "Int32", "height": "Int32"})
+        return decoded_frames(batches, of_file, ["path", *columns, "error"], {"version": "Int32", "width": "Int32", "height": "Int32"})
 
     both = files.select("path", "content").mapInPandas(run, f"path string, {schema}, {_ERROR}")
     return both.where("error is null").drop("error"), both.where("error is not null").select("path", "error")

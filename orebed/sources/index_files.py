@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orebed.functions.batches import decoded_frames
 from orebed.functions.pixels import hex_groups
 from orebed.operators import lookups, windows
 from orebed.operators.aggregates import byte_entropy
@@ -56,16 +57,17 @@ def parse_index(data: bytes, name: str) -> tuple[int, int, list[tuple[bytes, int
 def index_entries(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, rejects) of files with path and content. rejects: idx_file, error. Each file is parsed for itself."""
 
+    def of_file(path: str, content: bytes) -> list[tuple]:
+        name = path.replace("\\", "/").rsplit("/", 1)[-1]
+        try:
+            bucket, version, entries = parse_index(content, name)
+            return [(path, bucket, version, i, *e, None) for i, e in enumerate(entries)]
+        except ValueError as e:
+            return [(path, None, None, None, None, None, None, str(e))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                name = path.replace("\\", "/").rsplit("/", 1)[-1]
-                try:
-                    bucket, version, entries = parse_index(bytes(content), name)
-                    rows = [(path, bucket, version, i, *e, None) for i, e in enumerate(entries)]
-                except ValueError as e:
-                    rows = [(path, None, None, None, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["idx_file", "bucket", "version", "entry_pos", "key", "data_file", "offset", "error"]).astype({"bucket": "Int32", "version": "Int64", "entry_pos": "Int32", "data_file": "Int32", "offset": "Int64"})
+        columns = ["idx_file", "bucket", "version", "entry_pos", "key", "data_file", "offset", "error"]
+        return decoded_frames(batches, of_file, columns, {"bucket": "Int32", "version": "Int64", "entry_pos": "Int32", "data_file": "Int32", "offset": "Int64"})
 
     parsed = files.select("path", "content").mapInPandas(run, PARSED)
     return parsed.where("error is null").drop("error"), parsed.where("error is not null").select("idx_file", "error")
