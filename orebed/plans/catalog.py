@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orebed.functions import pixels, predicates
 from orebed.operators import aggregates, lookups, windows
-from orebed.plans import assets  # noqa: F401  registers its queries
+from orebed.plans import assets, binaries  # noqa: F401  register their queries
 from orebed.plans.registry import ORACLE_SQL, QUERIES, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
