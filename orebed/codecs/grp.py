@@ -12,6 +12,8 @@ from orebed.codecs import palette as palettes
 # Limits and opcodes of the format.
 MAX_FRAMES, MAX_SIDE = 1000, 2048
 SKIP, REPEAT = 0x80, 0x40
+#: Up to so many lines, decoding each for itself is faster than all together.
+FEW_LINES = 96
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ def frame_end(offsets: list[int], i: int, size: int) -> int:
 
 def line(runs: bytes, width: int) -> np.ndarray:
     """One row of indices; runs beyond the width are cut."""
-    out = np.zeros(width, np.uint8)
+    out = bytearray(width)
     x = i = 0
     while i < len(runs) and x < width:
         op = runs[i]
@@ -56,13 +58,14 @@ def line(runs: bytes, width: int) -> np.ndarray:
         elif op > REPEAT:
             if i >= len(runs):
                 break
-            out[x : x + op - REPEAT] = runs[i]
-            x, i = x + op - REPEAT, i + 1
+            size = min(op - REPEAT, width - x)
+            out[x : x + size] = runs[i : i + 1] * size
+            x, i = x + size, i + 1
         else:
-            got = np.frombuffer(runs[i : i + op], np.uint8)[: width - x]
+            got = runs[i : i + min(op, width - x)]
             out[x : x + len(got)] = got
             x, i = x + op, i + op
-    return out
+    return np.frombuffer(out, np.uint8)
 
 
 def lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
@@ -100,7 +103,7 @@ def lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) ->
 
 
 def parse(data: bytes) -> Sprite:
-    """All frames; bad or missing lines stay zero. All lines of a file are decoded together."""
+    """All frames; bad or missing lines stay zero. Many lines are decoded together, few ones each for itself."""
     width, height, offsets = frame_table(data)
     raw = np.frombuffer(data, np.uint8)
     rows, starts, ends = [], [], []
@@ -117,7 +120,12 @@ def parse(data: bytes) -> Sprite:
         ends.append(offset + np.where((table < following) & (following <= size), following, size)[good])
     out = np.zeros((len(offsets) * height, width), np.uint8)
     if rows:
-        out[np.concatenate(rows)] = lines(raw, np.concatenate(starts), np.concatenate(ends), width)
+        at, starts, ends = map(np.concatenate, (rows, starts, ends))
+        if len(at) <= FEW_LINES:
+            for i, a, b in zip(at.tolist(), starts.tolist(), ends.tolist()):
+                out[i] = line(data[a:b], width)
+        else:
+            out[at] = lines(raw, starts, ends, width)
     return Sprite(width, height, list(out.reshape(len(offsets), height, width)))
 
 

@@ -266,3 +266,16 @@ def test_encrypted_blocks():
             cipher.decrypt_block(bad, 5, {7: key})
     with pytest.raises(ValueError):
         cipher.decrypt_block(data, 5, {})
+
+
+def test_few_lines_and_many_decode_alike(monkeypatch):
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        runs = r.integers(0, 256, 400, dtype=np.uint8).tobytes()
+        starts = np.sort(r.integers(0, 400, 12)).astype("<u2") + 24
+        data = np.array([1, 30, 12], "<u2").tobytes() + bytes(4) + (14).to_bytes(4, "little") + starts.tobytes() + runs
+        decoded = []
+        for few in (0, 1 << 30):
+            monkeypatch.setattr(grp, "FEW_LINES", few)
+            decoded.append(np.stack(grp.parse(data).frames))
+        assert np.array_equal(*decoded)
