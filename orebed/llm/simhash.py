@@ -138,14 +138,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that of the least doc_id, of equal ids the one with the least key.
+    """docs with one row of each class: that of the least doc_id, of equal ids the one with the least key."""
+    marked, classes = _classes(docs)
+    return kept_rows(docs, marked.select("key"), classes.select(F.col("first").alias("key")))
+
+
+def kept_rows(docs: DataFrame, keys: DataFrame, firsts: DataFrame) -> DataFrame:
+    """docs with one row of each key in firsts. keys: those of all rows.
 
     Texts are dealt out by key once, and meet hash tables of keys: they are neither sorted nor aggregated. Only where whole
     rows repeat, which the keys tell, the repeated ones are reduced to one.
     """
-    marked, classes = _classes(docs)
-    firsts = written(classes.select(F.col("first").alias("_key")).distinct(), "simhash-firsts")
-    repeated = written(marked.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")).join(firsts, "_key", "left_semi"), "simhash-repeated")
+    firsts = written(firsts.toDF("_key").distinct(), "first-keys")
+    repeated = written(keys.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")).join(firsts, "_key", "left_semi"), "repeated-keys")
     keyed = docs.withColumn("_key", row_key("doc_id", "text"))
     if repeated.isEmpty():
         return keyed.join(firsts.hint("shuffle_hash"), "_key", "left_semi").drop("_key")
