@@ -3,7 +3,8 @@
 Each template's word n-grams are winnowed (the least hash of every window is kept; Schleimer, Wilkerson and Aiken, 2003), so that
 a text that shares a run of GRAM + WINDOW - 1 words with a template has one of its fingerprints. An inverted index of the few
 templates goes to every task, and a text is asked for all its n-grams. Where fingerprints of a template lie close together, the
-template's words are aligned with the text's along the fingerprints' diagonal, within a band.
+template's words are aligned with the text's along the fingerprints' diagonal, within a band. Fingerprints that this leaves are
+chained in text order across longer insertions and omissions, and aligned within a band that holds the chain.
 
 Rows: a null or empty text has no match. Equal rows each give their matches. Matches of one template don't overlap; a match
 within a larger match of another template is dropped.
@@ -111,28 +112,82 @@ def align(template: list[bytes], text: list[bytes], offset: int, band: int) -> t
     return n, first, -end
 
 
+def _groups(hits: list[tuple[int, int]], reach: int, band: int) -> list[list[int]]:
+    """The diagonals of hits that lie close together."""
+    groups: list[list[int]] = []
+    first = (0, 0)
+    for at, place in sorted((i - j, i) for i, j in hits):
+        if not groups or at - first[0] > band or place - first[1] > reach:
+            groups.append([])
+            first = (at, place)
+        groups[-1].append(at)
+    return groups
+
+
+def _chains(hits: list[tuple[int, int]], reach: int) -> list[list[int]]:
+    """The diagonals of hits that follow each other in the text and in the template, gaps of up to reach; longest first."""
+    hits = sorted(hits)
+    best: list[tuple[int, int]] = []  # length of the longest chain that ends here, and the hit before
+    low = 0
+    for k, (i, j) in enumerate(hits):
+        while i - hits[low][0] > reach:
+            low += 1
+        n, m = max(((best[m][0], m) for m in range(low, k) if hits[m][0] < i and hits[m][1] < j), default=(0, -1))
+        best.append((n + 1, m))
+    out, used = [], set()
+    for k in sorted(range(len(hits)), key=lambda k: -best[k][0]):
+        chain = []
+        while k >= 0 and k not in used:
+            used.add(k)
+            chain.append(hits[k][0] - hits[k][1])
+            k = best[k][1]
+        if len(chain) > 1:
+            out.append(chain)
+    return out
+
+
+def _occurrences(template: list[bytes], words: list[bytes], hits: list[tuple[int, int]], scan: Scan) -> list[tuple[int, int, int]]:
+    """(first word, end, words matched) of matches that don't overlap.
+
+    What groups by diagonal leave is searched again, without the words that are taken, until they give no more; then hits are
+    chained across longer insertions and omissions.
+    """
+    reach, least = len(template) + 2 * scan.band, scan.min_coverage * len(template)
+    kept: list[tuple[int, int, int]] = []
+    words = list(words)
+    chained = False
+    while hits:
+        own = set()
+        for offsets in _chains(hits, reach) if chained else _groups(hits, reach, scan.band):
+            low, high = min(offsets), max(offsets)
+            if chained and high - low <= scan.band:
+                continue
+            offset, band = ((low + high) // 2, (high - low + 1) // 2 + scan.band) if chained else (offsets[len(offsets) // 2], scan.band)
+            n, first, end = align(template, words, offset, band)
+            if n >= least:
+                own.add((first, end, n))
+        known = len(kept)
+        for first, end, n in sorted(own, key=lambda x: (-x[2], x[1] - x[0], x[0])):
+            if all(end <= a or b <= first for a, b, _ in kept):
+                kept.append((first, end, n))
+        if len(kept) == known:
+            if chained:
+                break
+            chained = True
+            continue
+        for first, end, _ in kept[known:]:
+            words[first:end] = [b""] * (end - first)
+        hits = [(i, j) for i, j in hits if all(words[i : i + GRAM])]
+    return kept
+
+
 def matches(text: str, index: Index, scan: Scan) -> list[tuple[str, int, int, int, int]]:
     """(template, start, end in code points, words matched, words of the template), by start."""
     words = tokens(text)
     found = []
     for name, hits in index.hits(words).items():
         template = index.words[name]
-        reach = len(template) + 2 * scan.band
-        group: list[tuple[int, int]] = []
-        own = []
-        for at, place in [*sorted((i - j, i) for i, j in hits), (None, 0)]:
-            if group and (at is None or at - group[0][0] > scan.band or place - group[0][1] > reach):
-                offsets = sorted(o for o, _ in group)
-                n, first, end = align(template, words, offsets[len(offsets) // 2], scan.band)
-                if n >= scan.min_coverage * len(template):
-                    own.append((first, end, n))
-                group = []
-            group.append((at, place))
-        kept: list[tuple[int, int, int]] = []
-        for first, end, n in sorted(set(own), key=lambda x: (-x[2], x[1] - x[0], x[0])):
-            if all(end <= a or b <= first for a, b, _ in kept):
-                kept.append((first, end, n))
-        found += [(name, first, end, n, len(template)) for first, end, n in kept]
+        found += [(name, first, end, n, len(template)) for first, end, n in _occurrences(template, words, hits, scan)]
     if not found:
         return []
     spans = [m.span() for m in TOKEN.finditer(text)]

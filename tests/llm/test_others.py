@@ -218,6 +218,15 @@ def test_every_template_finds_itself():
         assert name in {m[0] for m in licenses.matches(f"so it goes {text} and on", index, licenses.Scan())}
 
 
+def test_licenses_across_gaps_and_in_close_repeats():
+    index, w, extra = licenses.Index(licenses.TEMPLATES), licenses.TEMPLATES["MIT"].split(), [f"word{i}" for i in range(9)]
+    for text, n in ((w[:50] + extra + w[50:], len(licenses.tokens(" ".join(w)))), (w[:46] + w[55:], len(licenses.tokens(" ".join(w[:46] + w[55:]))))):
+        assert [(m[0], m[3]) for m in licenses.matches(" ".join(text), index, licenses.Scan())] == [("MIT", n)]
+    line = "All rights reserved.\n"
+    for k in (3, 20):
+        assert [m[1] for m in licenses.matches(line * k, index, licenses.Scan())] == [i * len(line) for i in range(k)]
+
+
 def test_licenses_in_awkward_rows(spark):
     assert licenses.scan_licenses(frame(spark, awkward())).count() == 0 and licenses.scan_licenses(frame(spark, [])).count() == 0
 
