@@ -12,14 +12,20 @@ LOCAL_WORK_DIR = "/tmp/orebed-work"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, else the one that the context was given.
+
+    On one machine a local folder is set where both are unset; on a cluster that is an error, as executors share no local folder.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(LOCAL_WORK_DIR)
-    return f"file://{LOCAL_WORK_DIR}"
+    if given := sc.getCheckpointDir():
+        return given.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(LOCAL_WORK_DIR)
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -27,7 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/orebed/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing reads any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
