@@ -28,6 +28,24 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns), *(F.col(c).isNull() for c in columns))
 
 
+def second_key(*columns: str) -> Column:
+    """Another 64 bits, independent of row_key: the two together tell rows apart however many there are."""
+    return F.xxhash64(F.lit("second"), row_key(*columns), *(F.col(c).cast("string") for c in columns), *(F.col(c).isNull() for c in columns))
+
+
+def apart(df: DataFrame, *wanted: str) -> dict[str, str]:
+    """For each wanted helper name one that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    names = {}
+    for name in wanted:
+        free = f"_{name}"
+        while free.lower() in taken:
+            free = f"_{free}"
+        taken.add(free.lower())
+        names[name] = free
+    return names
+
+
 def map_columns(df: DataFrame, fn: Callable[..., tuple[list, ...]], schema: str, rows: int = 512) -> DataFrame:
     """fn takes each input column as a list, and returns each output column as a list; it sees `rows` rows at most at once."""
     kinds = to_arrow_schema(StructType.fromDDL(schema))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from helpers import SCHEMA, awkward, components, fingerprint, frame, prose
@@ -44,9 +45,9 @@ def test_hot_keys_lose_no_link(spark):
     df = spark.createDataFrame([(w,) for w in signed], "fp long")
     from orebed.llm.components import connected
 
-    for bucket in (2, 10**9):
-        got = {row.node: row.root for row in connected(simhash.links(df, bucket)).collect()}
-        want = components(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    want = components(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    for bucket, levels in ((2, 0), (2, 2), (10, 2), (10**9, 2)):
+        got = {row.node: row.root for row in connected(simhash.links(df, bucket, levels)).collect()}
         assert {n: got.get(n, n) for n in signed} == want
 
 
@@ -62,5 +63,41 @@ def test_empty_table(spark):
 
 
 def test_ring_keys_hold_what_must_be_equal():
-    assert sum(w for _, w in simhash.ring()) == 64 and simhash.exact_run() == 2
+    assert sum(simhash.ring()) == (1 << 64) - 1 and simhash.exact_run() == 2
+    assert [sorted({m.bit_count() for m in simhash.key_masks(level)}) for level in range(3)] == [[25, 26], [38, 39], [46, 47, 48]]
+    for pair in itertools.combinations(range(64), 2):
+        differing = sum(1 << b for b in pair)
+        for level in range(3):
+            assert any(not m & differing for m in simhash.key_masks(level))
+
+
+def test_columns_of_helper_names_stay(spark):
+    rows = [(*r, 7, 8) for r in awkward()]
+    df = spark.createDataFrame(rows, f"{SCHEMA}, _key long, _key2 long")
+    kept = simhash.representatives(df)
+    assert kept.columns == df.columns and {(r._key, r._key2) for r in kept.collect()} == {(7, 8)}
+
+
+def test_paths_that_drain_one_hop_a_round(spark):
+    from orebed.llm.components import connected
+
+    d = 1000
+    path = [*range(0, 2 * d, 2), *range(2 * d - 1, 0, -2)]
+    links = spark.createDataFrame([*zip(path, path[1:]), (5000, 5000), (None, 3), (7000, 7001), (7001, 7000)], "a long, b long")
+    got = {r.node: r.root for r in connected(links).collect()}
+    assert got == {n: 0 for n in path} | {5000: 5000, 7000: 7000, 7001: 7000}
+    assert connected(links.limit(0)).count() == 0
+
+
+def test_components_of_random_links(spark):
+    from orebed.llm.components import connected
+
+    r = random.Random(8)
+    links = {tuple(sorted(r.sample(range(400), 2))) for _ in range(260)}
+    want = components({n for link in links for n in link}, lambda a, b: (a, b) in links)
+    assert {x.node: x.root for x in connected(spark.createDataFrame(sorted(links), "a long, b long")).collect()} == want
+
+
+def test_ring_runs():
+    assert simhash.exact_run() == 2
     assert simhash.exact_run(8, 2) == 3 and simhash.exact_run(3, 2) == 1
