@@ -12,12 +12,11 @@ def _flat(parents: DataFrame) -> DataFrame:
     """parents (node, root), each root a smaller node or the node itself, with every path cut to its end."""
     while True:
         ends = parents.select(F.col("node").alias("root"), F.col("root").alias("end"))
-        jumped = written(parents.join(ends, "root").select("node", F.col("root").alias("was"), F.col("end").alias("root")), "labels")
+        jumped = written(parents.select("node", "root").join(ends, "root").select("node", F.col("root").alias("was"), F.col("end").alias("root")), "labels")
         discard(parents)
         if jumped.where("was <> root").isEmpty():
             return jumped
-        parents = written(jumped.select("node", "root"), "labels")
-        discard(jumped)
+        parents = jumped
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -54,3 +53,16 @@ def connected(links: DataFrame) -> DataFrame:
         if edges.isEmpty():
             discard(edges)
             return roots
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) of some links, as `connected` gives them, with more links (a, b): the same as of all links together."""
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    rooted = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rooted = written(rooted.select("a", "b", *(F.coalesce(f"root_{x}", x).alias(f"root_{x}") for x in "ab")), "rooted-links")
+    moved = connected(rooted.select("root_a", "root_b")).toDF("root", "next")
+    nodes = rooted.select(F.col("a").alias("node")).union(rooted.select("b")).distinct().join(roots, "node", "left_anti")
+    both = roots.select("node", "root").union(nodes.select("node", F.col("node").alias("root")))
+    out = written(both.join(moved, "root", "left").select("node", F.least("root", "next").alias("root")), "roots")
+    discard(rooted)
+    return out
