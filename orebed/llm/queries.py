@@ -77,7 +77,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = chat.rotate(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return drawn.select("conv_id", "segment", "part", "assistant", "n_turns", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), mask.alias("mask"))
+    return drawn.select("conv_id", "part", "assistant", "n_turns", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), mask.alias("mask"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,13 +172,18 @@ ORACLE_SQL = {
     "op3_pii": _OP3_SQL,
     "op4_quality": _OP4_SQL,
     "op6_chat": r"""
-        WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(coalesce(turn // 256, -1) AS BIGINT) AS segment FROM conversations),
-        speakers AS (SELECT DISTINCT conv_id, segment, role AS assistant FROM turns WHERE role <> 'system'),
-        pieces AS (SELECT t.*, s.assistant, '<|im_start|>' || CASE WHEN role = assistant THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
-                          text || '<|im_end|>' || chr(10) AS body FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.segment = s.segment),
-        placed AS (SELECT *, coalesce(sum(length(head || body)) OVER (PARTITION BY conv_id, segment, assistant ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM pieces)
-        SELECT conv_id, segment, CAST(0 AS BIGINT) AS part, assistant, CAST(count(*) AS BIGINT) AS n_turns, CAST(sum(length(head || body)) AS BIGINT) AS n_chars,
+        WITH turns AS (SELECT DISTINCT conv_id, turn,
+            regexp_replace(replace(replace(coalesce(role, 'unknown'), '\', '\\'), chr(10), '\n'), '<\|(\\*im_)', '<|\\\1', 'g') AS role,
+            regexp_replace(coalesce(text, ''), '<\|(\\*im_)', '<|\\\1', 'g') AS text FROM conversations),
+        speakers AS (SELECT DISTINCT conv_id, role AS assistant FROM turns WHERE role <> 'system'),
+        pieces AS (SELECT t.*, s.assistant, text || '<|im_end|>' || chr(10) AS body,
+            '<|im_start|>' || CASE WHEN role = assistant THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
+            FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+        placed AS (SELECT *, coalesce(sum(length(head || body)) OVER (PARTITION BY conv_id, assistant ORDER BY turn NULLS FIRST, role, text
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM pieces)
+        SELECT conv_id, CAST(0 AS BIGINT) AS part, assistant, CAST(count(*) AS BIGINT) AS n_turns, CAST(sum(length(head || body)) AS BIGINT) AS n_chars,
                sha256(string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text)) AS text_sha256,
-               string_agg(CAST(CAST(begun + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(begun + length(head || body) AS BIGINT) AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (role = assistant) AS mask
-        FROM placed GROUP BY conv_id, segment, assistant""",
+               string_agg(CAST(CAST(begun + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(begun + length(head || body) AS BIGINT) AS VARCHAR), ','
+                          ORDER BY turn NULLS FIRST, role, text) FILTER (role = assistant) AS mask
+        FROM placed GROUP BY conv_id, assistant""",
 }
