@@ -136,6 +136,7 @@ _PLAIN = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _RAW = " UNION ALL ".join(f"SELECT r, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM docs" for rank, (kind, p) in enumerate(_PLAIN.items()))
+_BY_LETTERS, _BY_SHAPE = "substr({0}, 1, 3) || '*'", r"CASE WHEN regexp_full_match({0}, '\p{{N}}+') THEN '[NUMBER]' ELSE '[WORD]' END"
 _OP3_SQL = rf"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
     raw AS ({_RAW}), {_PLACED.format(name="placed", source="raw", keys="r, kind, rank")},
@@ -151,12 +152,18 @@ _OP3_SQL = rf"""
     found AS (SELECT side, regexp_extract_all(x, '[\p{{L}}\p{{N}}]{{3,}}') AS m, regexp_split_to_array(x, '[\p{{L}}\p{{N}}]{{3,}}') AS g FROM sides), {_PLACED.format(name="words", source="found", keys="side")},
     near AS (SELECT DISTINCT r, entity, lower(w) AS term, at_ + e - length(w) AS ts, at_ + e AS te FROM words JOIN sides USING (side)),
     open AS (SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = n.r AND b.s < n.te AND n.ts < b.e)),
-    both_ AS (SELECT entity, term, count(DISTINCT r) AS nb FROM open GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+    named AS (SELECT DISTINCT r, entity, unnest([term, {_BY_LETTERS.format('term')}, {_BY_SHAPE.format('term')}]) AS name FROM open),
+    both_ AS (SELECT entity, name, count(*) AS nb FROM named GROUP BY ALL),
     entities AS (SELECT entity, count(DISTINCT r) AS ne FROM base GROUP BY ALL),
-    terms AS (SELECT term, count(*) AS nt FROM (SELECT r, unnest(list_distinct(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]{{3,}}'))) AS term FROM docs) GROUP BY term),
-    telling AS (SELECT entity, term, log2(nb * n::DOUBLE / (nt * ne)) / log2(n::DOUBLE / ne) AS disclosure FROM both_ JOIN entities USING (entity) JOIN terms USING (term), (SELECT count(*) AS n FROM docs) WHERE ne < n),
-    hits AS (SELECT r, ts, te, max(disclosure) AS disclosure FROM open JOIN telling USING (entity, term) WHERE disclosure >= 0.8 GROUP BY ALL),
-    spans AS (SELECT r, s, rank, e, kind FROM base UNION ALL SELECT r, ts, 4, te, CASE WHEN disclosure >= 0.9 THEN 'removed' ELSE 'generalised' END FROM hits),
+    terms AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]{{3,}}')) AS term FROM docs),
+    names AS (SELECT name, count(DISTINCT r) AS nn FROM (SELECT r, unnest([term, {_BY_LETTERS.format('term')}, {_BY_SHAPE.format('term')}]) AS name FROM terms) GROUP BY name),
+    judged AS (SELECT entity, name, log2((nb + 4.0::DOUBLE * (ne / n::DOUBLE)) / (nn + 4.0::DOUBLE) / (ne / n::DOUBLE)) / log2(1 / (ne / n::DOUBLE)) AS disclosure
+        FROM both_ JOIN entities USING (entity) JOIN names USING (name), (SELECT count(*) AS n FROM docs) WHERE ne < n),
+    telling AS (SELECT j.entity, j.name AS term, j.disclosure, CASE WHEN j.disclosure >= 0.9 THEN 2 WHEN l.disclosure < 0.8 THEN 0 WHEN s.disclosure < 0.8 THEN 1 ELSE 2 END AS level FROM judged j
+        JOIN judged l ON l.entity = j.entity AND l.name = {_BY_LETTERS.format('j.name')} JOIN judged s ON s.entity = j.entity AND s.name = {_BY_SHAPE.format('j.name')}
+        WHERE j.disclosure >= 0.8 AND NOT regexp_matches(j.name, '[*\[]')),
+    hits AS (SELECT r, ts, te, max(level) AS level FROM open JOIN telling USING (entity, term) GROUP BY ALL),
+    spans AS (SELECT r, s, rank, e, kind FROM base UNION ALL SELECT r, ts, 4, te, CASE WHEN level = 2 THEN 'removed' ELSE 'generalised' END FROM hits),
     told AS (SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < 4) AS base_spans,
         count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, count(*) FILTER (rank = 3) AS n3, count(*) FILTER (rank = 4) AS n4 FROM spans GROUP BY r)
     SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_email, CAST(coalesce(n1, 0) AS BIGINT) AS n_ip, CAST(coalesce(n2, 0) AS BIGINT) AS n_card, CAST(coalesce(n3, 0) AS BIGINT) AS n_phone,
