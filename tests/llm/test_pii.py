@@ -116,7 +116,7 @@ def test_sanitised_texts(spark):
             want += (text or "")[at : max(at, start)] + label
             at = max(at, end)
         assert texts[i] == (text if text is None else want + text[at:])
-    assert "agent  writes to [EMAIL] today." in texts[0] and "[qui*]" in texts[31]
+    assert "agent  writes to [EMAIL] today." in texts[0] and "[WORD],  [WORD], [EMAIL]" in texts[31]
 
 
 def test_many_mentions_take_time_in_proportion(spark):
