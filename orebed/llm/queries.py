@@ -6,15 +6,15 @@ import importlib.util
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebed.llm import bpe, chat, langid, licenses, neighbours, packing, pii, quality, simhash, token_counts
 from orebed.session import work_dir, written
 
 WORD_TOKENS, BYTE_TOKENS = "words-1", "bytes-1"
-#: Documents of fewer words are deleted from the rollup again.
-LEAST_WORDS = 5
+#: Documents of fewer words are deleted from the rollup and inserted again.
+SHORT_WORDS = 5
 #: Characters that a word is first taken to have.
 GUESSED_CHARS = 5
 
@@ -34,7 +34,8 @@ def vocabulary() -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts are first guessed, then revised to exact ones, then those of very short documents are deleted; two batches come twice."""
+    """Counts are guessed, then revised to exact ones; short documents are deleted and inserted again; batches come twice, and a fold
+    lies between. In the end the totals cover all documents."""
     docs = table(spark, sf_dir, "documents").select(
         "source", "lang", F.ceil(F.coalesce("n_chars", F.lit(0)) / GUESSED_CHARS).alias("guess"),
         token_counts.word_count(F.col("text")).alias("words"), token_counts.byte_count(F.col("text")).alias("bytes"),
@@ -42,15 +43,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = written(docs, "counted")
     none = F.lit(None).cast("long")
 
-    def change(kind: str, tokenizer: str, new, old, rows: DataFrame = counted) -> DataFrame:
-        return rows.select(F.lit(kind).alias("kind"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), new.alias("n_tokens"), old.alias("old_tokens"))
+    def change(kind: str, tokenizer: str, new: Column, old: Column, rows: DataFrame = counted) -> DataFrame:
+        named = F.lit(kind).alias("kind"), "source", "lang", F.lit(tokenizer).alias("tokenizer")
+        return rows.select(*named, new.alias("n_tokens"), old.alias("old_tokens"))
 
-    short = counted.where(F.col("words") < LEAST_WORDS)
-    first = change("insert", WORD_TOKENS, F.col("guess"), none).union(change("insert", BYTE_TOKENS, F.col("bytes"), none))
-    revised = change("revise", WORD_TOKENS, F.col("words"), F.col("guess"))
-    deleted = change("delete", WORD_TOKENS, none, F.col("words"), short).union(change("delete", BYTE_TOKENS, none, F.col("bytes"), short))
+    short = counted.where(F.col("words") < SHORT_WORDS)
+    words, size = F.col("words"), F.col("bytes")
+    first = change("insert", WORD_TOKENS, F.col("guess"), none).union(change("insert", BYTE_TOKENS, size, none))
+    revised = change("revise", WORD_TOKENS, words, F.col("guess"))
+    deleted = change("delete", WORD_TOKENS, none, words, short).union(change("delete", BYTE_TOKENS, none, size, short))
+    again = change("insert", WORD_TOKENS, words, none, short).union(change("insert", BYTE_TOKENS, size, none, short))
     rollup = token_counts.Rollup(spark, f"{work_dir(spark)}/orebed/rollup-{uuid.uuid4().hex}")
-    for batch, changes in (("0001", first), ("0002", revised), ("0002", revised), ("0003", deleted), ("0001", first)):
+    for batch, changes in (("0001", first), ("0002", revised), ("0002", revised), ("0003", deleted)):
+        rollup.commit(batch, changes)
+    rollup.fold()
+    for batch, changes in (("0001", first), ("0004", again), ("0003", deleted)):
         rollup.commit(batch, changes)
     return rollup.totals().select(*token_counts.KEYS, "n_docs", "n_tokens")
 
@@ -173,8 +180,8 @@ ORACLE_SQL = {
     "op1_token_counts": r"""
         WITH counted AS (SELECT source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words,
                                 CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents),
-        each AS (SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM counted WHERE words >= 5
-                 UNION ALL SELECT source, lang, 'bytes-1', bytes FROM counted WHERE words >= 5)
+        each AS (SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM counted
+                 UNION ALL SELECT source, lang, 'bytes-1', bytes FROM counted)
         SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM each GROUP BY ALL""",
     "op3_pii": _OP3_SQL,
     "op4_quality": _OP4_SQL,

@@ -1,13 +1,15 @@
 import random
 import re
+import shutil
 from collections import defaultdict
 
 import numpy as np
 from helpers import SCHEMA, awkward, frame, prose, words
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from orebed.llm import chat, licenses, neighbours, packing, queries, token_counts
+from orebed.llm import bpe, chat, licenses, neighbours, packing, queries, token_counts
 from orebed.session import written
 
 # token counts
@@ -17,6 +19,10 @@ def changes(spark, rows):
     return spark.createDataFrame(rows, "kind string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
 
 
+def ids(rollup):
+    return sorted(r.id for r in rollup.batches().collect())
+
+
 def test_rollup_is_idempotent_and_folds(spark, tmp_path):
     rollup = token_counts.Rollup(spark, f"file://{tmp_path}/state")
     assert rollup.totals().count() == 0
@@ -27,12 +33,70 @@ def test_rollup_is_idempotent_and_folds(spark, tmp_path):
     want = {("s", "en", "v1", 2, 17), (None, None, "v1", 1, 0)}
     assert {tuple(r) for r in rollup.totals().collect()} == want
     rollup.fold()
-    assert {tuple(r) for r in rollup.totals().collect()} == want and rollup.batches() >= {"a", "b", "empty"}
+    assert {tuple(r) for r in rollup.totals().collect()} == want and ids(rollup) == ["a", "b", "empty"]
     assert not rollup.commit("b", first) and rollup.commit("c", first)
     rollup.fold()
     assert {tuple(r) for r in rollup.totals().collect()} == {("s", "en", "v1", 4, 32), (None, None, "v1", 2, 0), ("t", "fr", "v1", 1, 7)}
 
 
+def test_names_of_parts_are_no_ids(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/state")
+    first = changes(spark, [("insert", "s", "en", "v1", 10, None)])
+    assert rollup.commit("0001", first)
+    rollup.fold()
+    odd = [*rollup._names(), "batch-0001", rollup._name("0001"), "../x/*?", "", "a" * 1000]
+    for batch in odd:
+        assert rollup.commit(batch, first) and not rollup.commit(batch, first)
+    rollup.fold()
+    assert ids(rollup) == sorted({*odd, "0001"}) and not any(rollup.commit(b, first) for b in [*odd, "0001"])
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "v1", len(odd) + 1, 10 * len(odd) + 10)]
+
+
+def test_fold_that_breaks_off_counts_once(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/state")
+    for batch in ("a", "b"):
+        rollup.commit(batch, changes(spark, [("insert", "s", "en", "v1", 10, None)]))
+    shutil.copytree(f"{tmp_path}/state/state", f"{tmp_path}/kept")
+    rollup.fold()
+    shutil.copytree(f"{tmp_path}/kept", f"{tmp_path}/state/state", dirs_exist_ok=True)
+    assert rollup.totals().first().n_docs == 2 and ids(rollup) == ["a", "b"]
+    rollup.commit("c", changes(spark, [("insert", "s", "en", "v1", 10, None)]))
+    rollup.fold()
+    assert rollup.totals().first().n_docs == 3 and ids(rollup) == ["a", "b", "c"] and len(rollup._names()) == 1
+
+
+def test_many_ids_stay_out_of_plans(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/state")
+    for i in range(2):
+        rollup.commit(f"first-{i}", changes(spark, [("insert", "s", "en", "v1", 1, None)]))
+    rollup.fold()
+    # as 2,000 batches and their folds leave them
+    many = spark.range(2000).selectExpr("concat('b-', id) AS id")
+    part = rollup._names()[0]
+    many.write.mode("append").parquet(f"{tmp_path}/state/state/{part}/ids")
+    assert not rollup.commit("b-1999", changes(spark, [])) and rollup.commit("b-2000", changes(spark, [("insert", "s", "en", "v1", 1, None)]))
+    rollup.fold()
+    assert rollup.batches().count() == 2003 and rollup.totals().first().n_docs == 3
+    assert len(rollup.totals()._jdf.queryExecution().toString()) < 20_000
+    looked_up = rollup._table(rollup._names(), "ids", token_counts.IDS).where("id = 'b-7'")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,b-7)]" in looked_up
+
+
+def test_counts_of_a_tokenizer_version(spark, tmp_path):
+    docs = frame(spark, awkward())
+    counted = docs.select("doc_id", "source", "lang").join(bpe.digests(docs, queries.vocabulary()).select("doc_id", "n_tokens").dropDuplicates(), "doc_id")
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/state")
+    rows = counted.select(F.lit("insert").alias("kind"), "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "n_tokens", F.lit(None).cast("long").alias("old_tokens"))
+    assert rollup.commit("1", rows) and not rollup.commit("1", rows)
+    library = Tokenizer.from_file(queries.vocabulary())
+    want = defaultdict(lambda: [0, 0])
+    for i, text, lang, source, _ in awkward():
+        if i is not None:
+            want[source, lang][0] += 1
+            want[source, lang][1] += len(library.encode(text or "", add_special_tokens=False).ids)
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()} == dict(want)
+
+
 def test_word_and_byte_counts(spark):
     got = frame(spark, awkward()).select("text", token_counts.word_count(F.col("text")), token_counts.byte_count(F.col("text"))).collect()
     assert all(r[1] == len(words(r[0])) and r[2] == len((r[0] or "").encode()) for r in got)
