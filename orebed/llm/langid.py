@@ -169,9 +169,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[list[str],
         return [], np.zeros((0, settings.dims))
     names, space = sorted(sizes), 1 << 30
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(space))
-    below = F.lit(0)
-    for name in names:
-        below = F.when(F.col("lang") == name, F.lit(min(space, settings.docs_per_language * space // sizes[name]))).otherwise(below)
+    shares = [(name, min(space, settings.docs_per_language * space // sizes[name])) for name in names]
+    below = F.broadcast(given.sparkSession.createDataFrame(shares, "lang string, below long"))  # max_languages rows at most
     dims, ngram = settings.dims, settings.ngram
 
     def run(langs: list, texts: list) -> tuple[list, ...]:
@@ -179,7 +178,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[list[str],
         seen = sorted(set(langs))
         return seen, [made[[x == lang for x in langs]].sum(axis=0) for lang in seen]
 
-    parts = map_columns(given.where(draw < below).select("lang", "text"), run, "lang string, vector array<double>")
+    parts = map_columns(given.join(below, "lang").where(draw < F.col("below")).select("lang", "text"), run, "lang string, vector array<double>")
     sums = parts.select("lang", F.posexplode("vector").alias("dim", "value")).groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     vectors = np.zeros((len(names), dims))
     for lang, dim, value in sums.collect():  # languages x dimensions, however many documents
@@ -208,10 +207,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], settings: Sett
 
 
 def tag(docs: DataFrame, model: tuple[list[str], np.ndarray], settings: Settings = Settings()) -> DataFrame:
-    """docs (which has a text) with lang_pred and score."""
-    at = docs.columns.index("text")
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in [*docs.dtypes, ("lang_pred", "string"), ("score", "double")])
-    return map_columns(docs, lambda *columns: (*columns, *_best(columns[at], model, settings)), schema)
+    """docs (which has a text) with lang_pred and score; columns of these names are replaced."""
+    given = docs.select(*(F.col(f"`{name}`") for name in docs.columns if name.lower() not in ("lang_pred", "score")))
+    at = given.columns.index("text")
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in [*given.dtypes, ("lang_pred", "string"), ("score", "double")])
+    return map_columns(given, lambda *columns: (*columns, *_best(columns[at], model, settings)), schema)
 
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -6,6 +6,8 @@ templates goes to every task, and a text is asked for all its n-grams. Where fin
 template's words are aligned with the text's along the fingerprints' diagonal, within a band. Fingerprints that this leaves are
 chained in text order across longer insertions and omissions, and aligned within a band that holds the chain.
 
+Templates of fewer than GRAM words are refused.
+
 Rows: a null or empty text has no match. Equal rows each give their matches. Matches of one template don't overlap; a match
 within a larger match of another template is dropped.
 """
@@ -13,6 +15,7 @@ within a larger match of another template is dropped.
 from __future__ import annotations
 
 import re
+from bisect import bisect, insort
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -71,9 +74,11 @@ class Index:
         self.words = {name: tokens(text) for name, text in templates.items()}
         if sum(map(len, self.words.values())) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
+        if short := [name for name, words in self.words.items() if len(words) < GRAM]:
+            raise ValueError(f"templates of fewer than {GRAM} words: {', '.join(short)}")
         self.grams: dict[tuple[bytes, ...], list[tuple[str, int]]] = defaultdict(list)
         for name, words in self.words.items():
-            for i in winnow(words) if words else []:
+            for i in winnow(words):
                 self.grams[tuple(words[i : i + GRAM])].append((name, i))
         self.keys = frozenset(self.grams)
 
@@ -154,6 +159,7 @@ def _occurrences(template: list[bytes], words: list[bytes], hits: list[tuple[int
     """
     reach, least = len(template) + 2 * scan.band, scan.min_coverage * len(template)
     kept: list[tuple[int, int, int]] = []
+    places: list[tuple[int, int]] = []  # of those kept, sorted: they don't overlap, so the neighbours tell whether another one would
     words = list(words)
     chained = False
     while hits:
@@ -168,8 +174,10 @@ def _occurrences(template: list[bytes], words: list[bytes], hits: list[tuple[int
                 own.add((first, end, n))
         known = len(kept)
         for first, end, n in sorted(own, key=lambda x: (-x[2], x[1] - x[0], x[0])):
-            if all(end <= a or b <= first for a, b, _ in kept):
+            after = bisect(places, (first, first))
+            if (after == 0 or places[after - 1][1] <= first) and (after == len(places) or end <= places[after][0]):
                 kept.append((first, end, n))
+                insort(places, (first, end))
         if len(kept) == known:
             if chained:
                 break

@@ -6,16 +6,20 @@ the radius on either side; virtual rehashing grows the radius by GROWTH, and eac
 vector that collides in `threshold` arrays is verified by its true cosine. The search ends when the k-th best verified vector
 lies within the radius: each vector within the radius reaches the threshold with probability 1 - MISS at least.
 
-Vectors are dealt to blocks of about BLOCK_ROWS rows and queries to blocks of about QUERY_ROWS; a task indexes one block and asks
-it one block of queries. So memory is bounded, and neither side is broadcast. Each block gives k rows for a query at most.
-
-Rows: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without vec_id or of another
-length than most. A vec_id that repeats among queries asks once (with its least vector); no row with the query's own vec_id is
-its neighbour. Rows with equal vectors tie and go by vec_id; each repeat of a row is a neighbour. An empty table gives no rows.
+Vectors are dealt to blocks, each of which one task indexes; the queries then stream past it, so memory holds one block and a batch
+of queries, and neither side is broadcast. A vector is shuffled once, a query once for each block, and each block gives k rows for
+a query at most. Queries that are a fixed share of all rows so cost rows times queries, as far as windows don't spare it: on unit
+vectors whose neighbours are far (cosines near 0), windows come to hold most of a block.
+
+Rows: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without vec_id. Vectors of
+different lengths aren't neighbours. A vec_id that repeats among queries asks once (with its least vector); no row with the query's
+own vec_id is its neighbour. Rows with equal vectors tie and go by vec_id; each repeat of a row is a neighbour. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import comb, erf, sqrt
 
@@ -33,13 +37,15 @@ SLACK = 1e-12
 
 @dataclass(frozen=True)
 class Search:
+    """block_values: components of a block's vectors at most, about. least_rows: a block has no fewer, if it's for more tasks alone."""
+
     projections: int = 64
     width: float = 1.2
     growth: float = 1.2
     radius: float = 0.3
     miss: float = 0.02
-    block_rows: int = 16384
-    query_rows: int = 8192
+    block_values: int = 1 << 22
+    least_rows: int = 4096
     seed: int = 7
 
     @property
@@ -115,35 +121,56 @@ class Index:
         return [[(-c, i) for c, i in rows] for rows in best]
 
 
+def _results(index: Index | None, batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """What a block answers to a batch of queries."""
+    ids = batch["vec_id"].to_numpy()
+    out: list[tuple[int, int, float]] = []
+    if index is not None:
+        points = unit(batch["embedding"].flatten().to_numpy().reshape(len(ids), -1))
+        out = [(q, i, c) for q, found in zip(ids.tolist(), index.nearest(points, ids, k)) for c, i in found]
+    q, i, c = zip(*out) if out else ((), (), ())
+    return pa.record_batch({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(c, pa.float64())})
+
+
+def _searched(batches: Iterator[pa.RecordBatch], k: int, search: Search) -> Iterator[pa.RecordBatch]:
+    """The answers of all blocks. Batches are sorted by n, block and asks: a block's vectors come before its queries."""
+    block, held, index = None, [], None
+    for batch in batches:
+        places = np.stack([batch["n"].to_numpy(), batch["block"].to_numpy(), batch["asks"].to_numpy(zero_copy_only=False)], axis=1)
+        cuts = [0, *(np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1).tolist(), len(places)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            part, (n, number, asks) = batch.slice(start, end - start), places[start].tolist()
+            if (n, number) != block:
+                block, held, index = (n, number), [], None
+            if not asks:
+                held.append((part["vec_id"].to_numpy(), unit(part["embedding"].flatten().to_numpy().reshape(end - start, -1))))
+                continue
+            if held:
+                index = Index(np.concatenate([v for _, v in held]), np.concatenate([i for i, _ in held]), search)
+                held = []
+            yield _results(index, part, k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, search: Search = Search()) -> DataFrame:
     """query_id, rank, vec_id, score. vectors and queries: vec_id, embedding."""
-    rows = pick(vectors, "vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, vec_id long, score double"
-    if common is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, total = common["n"], common["count"]
-    rows = rows.where(F.size("embedding") == dims).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    asked = pick(queries, "vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).where(F.size("embedding") == dims)
-    asked = written(asked.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding")), "queries")
-    blocks, parts = max(1, -(-total // search.block_rows)), max(1, -(-asked.count() // search.query_rows))
-    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")  # noqa: E731  by place in the input: no key can crowd a block
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = rows.select(F.lit(False).alias("asks"), "vec_id", "embedding", dealt(blocks).alias("block")).select("*", every(parts).alias("part"))
-    asking = asked.select(F.lit(True).alias("asks"), "vec_id", "embedding", dealt(parts).alias("part")).select("asks", "vec_id", "embedding", every(blocks).alias("block"), "part")
-
-    def run(group: pa.Table) -> pa.Table:
-        asks = group["asks"].to_numpy()
-        ids = group["vec_id"].to_numpy()
-        points = unit(group["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, dims))
-        out: list[tuple[int, int, float]] = []
-        if asks.any() and not asks.all():
-            index = Index(points[~asks], ids[~asks], search)
-            for q, found in zip(ids[asks].tolist(), index.nearest(points[asks], ids[asks], k)):
-                out += [(q, i, c) for c, i in found]
-        q, i, c = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    found = held.unionByName(asking).groupBy("block", "part").applyInArrow(run, schema)
+    spark = vectors.sparkSession
+    typed = F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
+    kept = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
+    rows = pick(vectors, "vec_id", "embedding").where(kept).select(*typed)
+    asked = pick(queries, "vec_id", "embedding").where(kept).select(*typed)
+    asked = written(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    size = rows.agg(F.count("*").alias("rows"), F.sum(F.size("embedding")).alias("components")).first()
+    for_memory = -(-(size["components"] or 0) // search.block_values)
+    for_tasks = min(spark.sparkContext.defaultParallelism, size["rows"] // search.least_rows)
+    blocks = max(1, for_memory, for_tasks)
+    n = F.size("embedding").alias("n")
+    # dealt by place in the input: no key can crowd a block
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")
+    held = rows.select(n, block, F.lit(False).alias("asks"), "vec_id", "embedding")
+    asking = asked.select(n, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    dealt = held.unionByName(asking).repartitionById(blocks, "block").sortWithinPartitions("n", "block", "asks")
+    found = dealt.mapInArrow(lambda batches: _searched(batches, k, search), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

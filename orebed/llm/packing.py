@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orebed.llm.frames import pick
@@ -61,6 +61,11 @@ class Bins:
         self.open |= 1 << residual
 
 
+def copies(text: Column) -> Column:
+    """The duplicate cluster of a text among exact copies: null, so without conflict, if it is null."""
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
 def pack_shard(lengths: list[int], clusters: list, sources: list, capacity: int, source_quota: int) -> list[tuple[int, int]]:
     """(bin, place in the bin) of each piece, packed in the order given."""
     bins, used = Bins(capacity, source_quota), defaultdict(int)

@@ -92,8 +92,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths are words; copies of a text are a duplicate cluster."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("cluster"), token_counts.word_count(F.col("text")).alias("length"))
+    """Lengths are words; copies of a text are a duplicate cluster, null texts none."""
+    length = token_counts.word_count(F.col("text")).alias("length")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", packing.copies(F.col("text")).alias("cluster"), length)
     return packing.pack(written(docs, "lengths")).select("doc_id", "piece", "piece_start", "length", "source", "cluster", "shard", "bin", "place")
 
 

@@ -1,9 +1,11 @@
 import random
 import re
 import shutil
+import time
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from helpers import SCHEMA, awkward, frame, prose, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -134,6 +136,15 @@ def test_neighbours_of_awkward_rows(spark):
     got = neighbours.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.rank, r.vec_id) for r in got if r.query_id == 0] == [(1, 1), (2, 2), (3, 100), (4, 50), (5, 9)]
     assert {r.query_id for r in got} == {0, 50, 100}
+    lengths = [(i, [float(i + 1), 1.0] if i % 3 else [1.0, float(i + 1), 2.0]) for i in range(60)]
+    by_length = neighbours.nearest(spark.createDataFrame(lengths, "vec_id long, embedding array<double>"), spark.createDataFrame(lengths, "vec_id long, embedding array<double>"))
+    found = defaultdict(list)
+    for r in by_length.orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    for dims in (2, 3):
+        some = [x for x in lengths if len(x[1]) == dims]
+        want = brute([x[0] for x in some], [x[1] for x in some], {x[0] for x in some}, 5)
+        assert sum(len(set(found[q]) & {j for _, j in want[q]}) for q in want) >= 0.95 * 5 * len(want)
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -142,7 +153,7 @@ def test_small_blocks_give_whole_results(spark):
     rows = [(i, r.standard_normal(16).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 16) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = defaultdict(list)
-    for x in neighbours.nearest(df, df.where("vec_id % 50 = 0"), 5, neighbours.Search(block_rows=100, query_rows=3)).orderBy("query_id", "rank").collect():
+    for x in neighbours.nearest(df, df.where("vec_id % 50 = 0"), 5, neighbours.Search(block_values=16 * 100)).orderBy("query_id", "rank").collect():
         got[x.query_id].append(x.vec_id)
     want = brute([x[0] for x in rows], [x[1] for x in rows], {x[0] for x in rows if x[0] % 50 == 0}, 5)
     assert got[1000] == [1001, 1002, 1003, 1004, 1005] and set(got) == set(want)
@@ -297,6 +308,30 @@ def test_best_fit_fills_like_a_plain_search():
     assert sorted(room.values()) == plain(items, 100, 50)[1]
 
 
+def test_every_piece_takes_the_tightest_bin_of_all(spark, tmp_path):
+    """Replay of the query's placements: each bin was the tightest compatible one, and none was when a bin was opened."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(9000 + i, *r[1:]) for i, r in enumerate(rows * 3) if len(r[1] or "") < 2000] + awkward() + [(8000 + i, None, "en", "s0", 0) for i in range(30)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    shards = defaultdict(list)
+    for x in queries.op8_packing(spark, str(tmp_path)).collect():
+        shards[x.shard].append(x)
+    conflicts = 0
+    for pieces in shards.values():
+        bins = {}
+        for x in sorted(pieces, key=lambda x: (-x.length, x.doc_id is None, x.doc_id, x.piece, x.bin)):
+            held = bins.setdefault(x.bin, [])
+            free = lambda b: packing.CAPACITY - sum(y.length for y in b)
+            fits = lambda b: free(b) >= x.length
+            apart = lambda b: (x.cluster is None or all(y.cluster != x.cluster for y in b)) and sum(y.source == x.source for y in b) < packing.SOURCE_QUOTA
+            tightest = min((free(b) for n, b in bins.items() if b and fits(b) and apart(b)), default=None)
+            conflicts += any(b and fits(b) and not apart(b) for b in bins.values())
+            assert (free(held) == tightest) if held else tightest is None
+            held.append(x)
+    assert conflicts > 100 and sum(map(len, shards.values())) >= len(rows)
+    assert all(x.cluster is None for pieces in shards.values() for x in pieces if x.doc_id is not None and 8000 <= x.doc_id < 9000)
+
+
 def test_no_rows_to_pack(spark):
     assert packed(spark, []) == []
 
@@ -344,6 +379,38 @@ def test_licenses_across_gaps_and_in_close_repeats():
         assert [m[1] for m in licenses.matches(line * k, index, licenses.Scan())] == [i * len(line) for i in range(k)]
 
 
+def test_licenses_of_a_whole_table_as_brute_force(spark):
+    """Exact occurrences are found with full coverage where they stand; whatever is found shares the words that it says it does."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text or "" for r in rows}
+    got = defaultdict(list)
+    for r in queries.op10_licenses(spark, "/root/testdata/sf0.01").collect():
+        span = licenses.tokens(texts[r.doc_id][r.span_start : r.span_end])
+        template = licenses.tokens(licenses.TEMPLATES[r.license])
+        assert lcs(template, span) >= r.matched_words >= 0.8 * len(template) and r.template_words == len(template)
+        got[r.doc_id].append((r.span_start, r.span_end))
+    seen = 0
+    for i, text in texts.items():
+        low = text.lower()
+        for template in licenses.TEMPLATES.values():
+            plain = r"[^a-z0-9]+".join(map(re.escape, (t.decode() for t in licenses.tokens(template))))
+            for m in re.finditer(rf"(?<![a-z0-9]){plain}(?![a-z0-9])", low):
+                seen += 1
+                assert any(a <= m.start() and m.end() <= b for a, b in got[i])
+    assert seen > 10
+
+
+def test_many_notices_take_time_in_proportion():
+    index, took = licenses.Index(licenses.TEMPLATES), []
+    for n in (2000, 16000):
+        start = time.monotonic()
+        assert len(licenses.matches("All rights reserved. so it is said\n" * n, index, licenses.Scan())) == n
+        took.append(time.monotonic() - start)
+    assert took[1] < 16 * took[0] + 1
+    with pytest.raises(ValueError):
+        licenses.Index({"short": "two words"})
+
+
 def test_licenses_in_awkward_rows(spark):
     assert licenses.scan_licenses(frame(spark, awkward())).count() == 0 and licenses.scan_licenses(frame(spark, [])).count() == 0
 

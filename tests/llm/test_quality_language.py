@@ -1,6 +1,9 @@
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 from helpers import awkward, frame, prose, words
+from pyspark.sql import functions as F
 
 from orebed.llm import langid, quality, queries
 
@@ -81,3 +84,49 @@ def test_pieces_of_long_texts_add_up():
     number = {p: i for i, p in enumerate(space.points)}
     want = sum(n * space._gram(tuple(number[0 if c == " " else ord(c)] for c in g)).astype(float) for g, n in grams.items())
     assert np.array_equal(want, whole)
+
+
+def plain_vector(text, dims):
+    """The sum of a text's letter trigrams, one by one."""
+    letters = ""
+    for c in f" {text} ":
+        c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+        if c != " " or not letters.endswith(" "):
+            letters += c
+    signs = lambda c: np.random.default_rng(0 if c == " " else ord(c)).integers(0, 2, dims) * 2 - 1
+    out = np.zeros(dims)
+    for gram, n in Counter(zip(letters, letters[1:], letters[2:])).items():
+        out += n * np.roll(signs(gram[0]), 2) * np.roll(signs(gram[1]), 1) * signs(gram[2])
+    return out
+
+
+def test_predictions_as_brute_force(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(r.text or "") < 4000]
+    rows = [tuple(r) for r in rows][:70] + [r for r in awkward() if len(r[1] or "") < 40_000]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    dims = langid.Settings().dims
+    made = [plain_vector(r[1] or "", dims) if any(c.isalpha() for c in r[1] or "") else np.zeros(dims) for r in rows]
+    sums = defaultdict(lambda: np.zeros(dims))
+    for r, v in zip(rows, made):
+        if r[0] is not None and not held(r[0]) and r[2] is not None and r[1] is not None:
+            sums[r[2]] += v
+    names = sorted(n for n, v in sums.items() if v.any())
+    want = []
+    for r, v in zip(rows, made):
+        cosines = [v @ sums[n] / np.linalg.norm(v) / np.linalg.norm(sums[n]) for n in names] if v.any() else [0.0]
+        best = int(np.argmax(cosines))
+        want.append((str(r[0]), held(r[0]), names[best] if v.any() else "und", round(max(0.0, cosines[best]), 9)))
+    got = langid.identify(frame(spark, rows, clashes=True)).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9)) for r in got) == sorted(want)
+
+
+def test_nine_hundred_languages(spark):
+    rows = [(i, f"text of number {'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i // 10 % 10] * 4} {'uvwxyzabcd'[i // 100] * 5}", f"l{i:03d}", "s", 1) for i in range(900)]
+    settings = langid.Settings(dims=64)
+    names, _ = langid.train(frame(spark, rows), settings)
+    assert len(names) == 900
+    model = langid.train(frame(spark, rows[:50]), settings)
+    df = frame(spark, rows[:50]).withColumn("score", F.lit("x")).withColumn("Lang_Pred", F.lit("y"))
+    tagged = langid.tag(df, model, settings)
+    assert tagged.columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score"]
+    assert all(r.lang_pred == r.lang for r in tagged.select("lang", "lang_pred").collect())
