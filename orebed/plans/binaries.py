@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from urllib.parse import urlparse
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebed.functions import pixels, predicates
 from orebed.operators import lookups, sprites, terrain, validate, windows
 from orebed.plans.registry import query, table
-from orebed.sources import index_files, listing, sinks, text_files
+from orebed.session import work_dir
+from orebed.sources import archive, index_files, listing, sinks, text_files
 
 
 def number(value: Column | int, size: int) -> Column:
@@ -258,3 +262,26 @@ def installation_kinds(spark, sf_dir):
     rows = nation.select(F.col("n_name").alias("root"), F.explode(paths).alias("path"))
     layout = listing.Layout(newer_markers=("Data/data/data.000",), older_markers=("old.exe",), older_archives=("Data/a.MPQ",))
     return listing.installations(rows, layout).select("root", "kind", "version")
+
+
+@query("""
+    SELECT s_suppkey, sha256(c) AS sha, CAST(octet_length(encode(c)) AS BIGINT) AS n_bytes, CAST(s_nationkey % 6 AS INT) AS data_file
+    FROM (SELECT s_suppkey, s_nationkey, s_name || '|' || repeat(s_name, CAST(1 + s_suppkey % 40 AS INT)) AS c FROM supplier)""")
+def archived_contents(spark, sf_dir):
+    """Suppliers' records in six data files and an index file, read back by key."""
+    content = F.concat_ws("|", "s_name", F.expr("repeat(s_name, cast(1 + s_suppkey % 40 as int))"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 6).cast("int").alias("data_file"), F.encode(content, "utf-8").alias("content"))
+    before = Window.partitionBy("data_file").orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, -1)
+    key = F.unhex(F.lpad(F.hex("s_suppkey"), 18, "0"))
+    placed = rows.select("*", key.alias("key"), F.coalesce(F.sum(F.length("content")).over(before), F.lit(0)).alias("offset"))
+    entry = F.concat("key", number(F.col("data_file"), 4), number(F.col("offset"), 4))
+    joined = lambda c: F.expr(f"array_join(transform(array_sort(collect_list(struct(s_suppkey, hex({c}) as h))), x -> x.h), '')")
+    blobs = placed.groupBy("data_file").agg(F.unhex(joined("content")).alias("content"))
+    header = F.concat(number(16, 4), number(0, 4), number(7, 2), number(0, 1), number(0, 1), number(4, 1), number(4, 1), number(9, 1), number(16, 1), number(1024, 8))
+    index = placed.withColumn("entry", entry).agg(F.concat(header, F.unhex(joined("entry"))).alias("content"))
+    files = blobs.select(F.format_string("data/data.%03d", "data_file").alias("path"), "content").union(index.select(F.lit("data/0000000001.idx").alias("path"), "content"))
+    root = f"{work_dir(spark)}/orebed/archive-{uuid.uuid4().hex}"
+    sinks.write_files(files, urlparse(root).path).count()
+    contents, _ = archive.extracted(archive.opened(spark, root), placed.select("key"))
+    found = contents.select(F.conv(F.hex("key"), 16, 10).cast("long").alias("s_suppkey"), F.sha2("content", 256).alias("sha"), F.length("content").cast("long").alias("n_bytes"), "data_file")
+    return found

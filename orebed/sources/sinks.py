@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,10 +43,11 @@ def clip_times(frames: DataFrame, rate: float) -> DataFrame:
 def write_files(rows: DataFrame, root: str, policy: str = "Always", started: float | None = None) -> DataFrame:
     """path, written: write content to path below root, which all executors must share. Runs when the result is read.
 
-    Never keeps files that are there, IfNewer those that were made since `started`, Backup renames them to .bak first. A file is
-    written aside and renamed, so a task that is run again leaves whole files.
+    Never keeps files that are there, IfNewer those that were made since `started`, Backup renames them to .bak first, unless this
+    run made them. A file is written aside and renamed, so a task that is run again leaves whole files, and the backup too.
     """
     policy = choice(policy, POLICIES)
+    begun = time.time()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -58,7 +60,7 @@ def write_files(rows: DataFrame, root: str, policy: str = "Always", started: flo
                 kept = there and (policy == "Never" or policy == "IfNewer" and started is not None and os.path.getmtime(target) >= started)
                 if not kept:
                     os.makedirs(os.path.dirname(target), exist_ok=True)
-                    if there and policy == "Backup":
+                    if there and policy == "Backup" and os.path.getmtime(target) < begun:
                         os.replace(target, target + ".bak")
                     aside = f"{target}.{os.getpid()}.part"
                     with open(aside, "wb") as f:
