@@ -24,6 +24,8 @@ UNKNOWN = "und"
 RUN_CHARS = 1 << 19
 #: n-gram vectors that a worker keeps.
 KEPT_GRAMS = 1 << 14
+#: n-grams that are summed at once; bounds the memory of counts and vectors as floats.
+SUMMED_GRAMS = 1 << 11
 #: So many letters at most make dense n-gram codes; beyond it codes are sorted instead.
 DENSE_LETTERS = 128
 
@@ -127,8 +129,8 @@ class Space:
             column = place[codes]
         else:
             found, column = np.unique(codes, return_inverse=True)
-        for low in range(0, len(found), KEPT_GRAMS // 2):
-            part = found[low : low + KEPT_GRAMS // 2]
+        for low in range(0, len(found), SUMMED_GRAMS):
+            part = found[low : low + SUMMED_GRAMS]
             inside = (column >= low) & (column < low + len(part))
             counts = np.bincount(owner[inside] * len(part) + column[inside] - low, minlength=len(pieces) * len(part))
             sums = counts.reshape(len(pieces), len(part)).astype(np.float32) @ self.grams[self._rows(part, base)].astype(np.float32)
