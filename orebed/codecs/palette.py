@@ -42,6 +42,41 @@ def grey(clear_first: bool = True) -> np.ndarray:
     return out
 
 
+# After 16 greys, ramps of 16 colours, each as its first colour and the step to the next.
+DEFAULT_RAMPS = (((255, 0, 0), (0, 16, 16)), ((0, 255, 0), (16, 0, 16)), ((0, 0, 255), (16, 16, 0)))
+SPRITE_RAMPS = (
+    ((255, 128, 128), (0, 8, 8)),
+    ((128, 128, 255), (8, 8, 0)),
+    ((128, 255, 128), (8, 0, 8)),
+    ((255, 255, 200), (0, 0, 3)),
+    ((255, 128, 255), (0, 8, 0)),
+    ((255, 128, 128), (0, 8, 0)),
+    ((139, 69, 19), (4, 6, 2)),
+)
+# The step between greys, and the factors of an index beyond the ramps.
+GREY_STEP, SPREAD = 17, (7, 11, 13)
+
+
+def _synthetic(ramps: tuple) -> np.ndarray:
+    out = np.full((256, 4), 255, np.uint8)
+    out[:, :3] = np.arange(256)[:, None] * np.array(SPREAD) % 256
+    shades = np.arange(16)[:, None]
+    for block, (first, step) in enumerate((((0, 0, 0), (GREY_STEP,) * 3), *ramps)):
+        out[16 * block : 16 * block + 16, :3] = np.array(first) + shades * np.array(step)
+    out[0, 3] = 0
+    return out
+
+
+def default() -> np.ndarray:
+    """The synthetic palette of units; index 0 is clear."""
+    return _synthetic(DEFAULT_RAMPS)
+
+
+def for_sprites() -> np.ndarray:
+    """The synthetic palette with players' colours, for run-length sprites; index 0 is clear."""
+    return _synthetic(SPRITE_RAMPS)
+
+
 def looked_up(indices: np.ndarray, palette: np.ndarray, clear: int | None = None) -> np.ndarray:
     """RGBA of indices; magenta beyond the palette; the index `clear` is fully transparent."""
     table = np.tile(np.array(MAGENTA, np.uint8), (256, 1))

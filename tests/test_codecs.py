@@ -66,6 +66,17 @@ def test_limits():
 # palettes
 
 
+def test_synthetic_palettes():
+    plain, players = palette.default(), palette.for_sprites()
+    for p in (plain, players):
+        assert p.shape == (256, 4) and p[0].tolist() == [0] * 4 and p[15].tolist() == [255] * 4 and p[1:, 3].min() == 255
+        assert p[200].tolist() == [200 * 7 % 256, 200 * 11 % 256, 200 * 13 % 256, 255]
+    assert plain[[16, 31, 33, 50, 64], :3].tolist() == [[255, 0, 0], [255, 240, 240], [16, 255, 16], [32, 32, 255], [192, 192, 64]]
+    assert players[[16, 32, 63, 65, 81, 97, 127], :3].tolist() == [
+        [255, 128, 128], [128, 128, 255], [248, 255, 248], [255, 255, 203], [255, 136, 255], [255, 136, 128], [199, 159, 49],
+    ]
+
+
 def test_palettes():
     p = palette.from_triplets(bytes([1, 2, 3, 63, 64, 255]))
     assert p.tolist() == [[4, 8, 12, 0], [255, 64, 255, 255]]
