@@ -1,7 +1,9 @@
 import itertools
 import random
 
+import numpy as np
 from helpers import SCHEMA, awkward, components, frame, prose, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orebed.llm import shingles
@@ -75,3 +77,58 @@ def test_awkward_rows(spark):
     got = shingles.representatives(spark.createDataFrame(awkward(), SCHEMA)).collect()
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 4, 6, 7, 8, 9, 10, 11, 12] and sum(r.doc_id is None for r in got) == 1
     assert shingles.representatives(frame(spark, [])).count() == 0
+
+
+def boxes(a, b, count):
+    """The number of hashes in which sets differ, for each segment of a ring."""
+    out = [0] * count
+    for h in a ^ b:
+        out[(h >> 32) * count >> 32] += 1
+    return out
+
+
+def test_similar_sets_share_the_start_of_a_chain_within_its_budgets(spark):
+    r, pairs, asked = random.Random(6), 0, []
+    for _ in range(4000):
+        n = r.choice((r.randint(4, 12), r.randint(4, 130)))
+        a = {r.getrandbits(64) for _ in range(n)}
+        gone = r.randint(0, n // 5)
+        b = set(r.sample(sorted(a), n - gone)) | {r.getrandbits(64) for _ in range(r.randint(0, max(0, (5 * (n - gone)) // 4 - n)))}
+        if a == b or not linked(a, b):
+            continue
+        pairs += 1
+        count = shingles.ring_size(max(len(a), len(b)).bit_length())
+        differ = boxes(a, b, count)
+        assert sum(differ) <= shingles.differences(len(a), max(len(a), len(b)).bit_length())
+        good = [i for i in range(count) if all(sum(differ[(i + j) % count] for j in range(x)) < x for x in range(1, count + 1))]
+        assert len(good) >= count - sum(differ) > 0
+        (keys_a, chains_a), (keys_b, chains_b) = (map(list, map(np.ndarray.tolist, shingles.ring_keys(np.array(sorted(s), np.uint64)))) for s in (a, b))
+        common = set(keys_a) & set(keys_b)
+        assert common
+        asked.append([(pairs, chains_a[keys_a.index(k)], chains_b[keys_b.index(k)]) for k in common])
+    assert pairs > 2000
+    rows = spark.createDataFrame([row for rows in asked for row in rows], "pair int, a long, b long")
+    within = rows.where(shingles.within_chain(F.col("a"), F.col("b"))).select("pair").distinct().count()
+    assert within == pairs
+
+
+def test_chains_prune_unlike_sets_of_a_common_segment(spark):
+    r, rows = random.Random(7), []
+    for _ in range(400):
+        level, (a, b) = 7, ([r.getrandbits(64) for _ in range(100)] for _ in range(2))
+        part = {h for h in a if (h >> 32) * shingles.ring_size(level) >> 32 == 9}
+        b = part | {h for h in b if (h >> 32) * shingles.ring_size(level) >> 32 != 9}
+        (keys_a, chains_a), (keys_b, chains_b) = (map(list, map(np.ndarray.tolist, shingles.ring_keys(np.array(sorted(s), np.uint64)))) for s in (a, b))
+        rows += [(chains_a[keys_a.index(k)], chains_b[keys_b.index(k)]) for k in set(keys_a) & set(keys_b)]
+    kept_pairs = spark.createDataFrame(rows, "a long, b long").where(shingles.within_chain(F.col("a"), F.col("b"))).count()
+    assert len(rows) > 100 and kept_pairs < len(rows) / 10
+
+
+def test_pairs_at_the_bound_are_found_for_certain(spark):
+    """Texts of 45 shingles that differ in one word; no MinHash band of round 2 was the same in these three pairs."""
+    rows = []
+    for seed in (3142, 3458, 5027):
+        r = random.Random(seed)
+        w = [f"w{r.randrange(10**6)}" for _ in range(49)]
+        rows += [(seed, " ".join(w), "en", "s", 1), (seed + 1, " ".join([*w[:20], "other", *w[21:]]), "en", "s", 1)]
+    assert sorted(r.doc_id for r in shingles.representatives(frame(spark, rows)).collect()) == [3142, 3458, 5027] == kept(rows)
