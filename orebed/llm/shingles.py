@@ -204,8 +204,6 @@ def _sides(a: DataFrame, b: DataFrame, key: str, *more: str) -> DataFrame:
     columns = ("node", "size", "fp", *more)
     left, right = (rows.select(key, *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x, rows in (("a", a), ("b", b)))
     near = left.join(right, key).where(_likely(*map(F.col, ("size_a", "size_b", "fp_a", "fp_b"))))
-    if "chain" in more:
-        near = near.where(within_chain(F.col("chain_a"), F.col("chain_b")))
     return near.where(_room(*map(F.col, ("size_a", "size_b", "place_a", "place_b")))) if "place" in more else near
 
 
@@ -282,7 +280,10 @@ def classes(nodes: DataFrame, index: DataFrame, docs: DataFrame, max_bucket: int
     """
     rows = index.join(nodes.select("node", "size", "fp"), "node")
     cold, hot = _crowded(rows, "band", max_bucket)
-    pairs = written(_ends(_sides(cold, cold, "band", "chain").where("node_a < node_b")), "shingles-pairs")
+    # an aggregate works out what the budgets have in common once a row, a filter or a join once for each of them
+    chained = F.bool_or(within_chain(F.col("chain_a"), F.col("chain_b"))).alias("chained")
+    alike = _sides(cold, cold, "band", "chain").where("node_a < node_b").groupBy("node_a", "node_b").agg(chained).where("chained")
+    pairs = written(alike.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "shingles-pairs")
     crowd = written(hot.select("node").distinct(), "shingles-crowd")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd).distinct()
     sets = written(_sets(docs, written(nodes.join(wanted, "node").select("node", *KEYS), "shingles-wanted")), "shingles-sets")
