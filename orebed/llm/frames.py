@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,14 +47,24 @@ def apart(df: DataFrame, *wanted: str) -> dict[str, str]:
     return names
 
 
+def give_back() -> None:
+    """Return freed memory to the system; workers that wait for their next task keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_columns(df: DataFrame, fn: Callable[..., tuple[list, ...]], schema: str, rows: int = 512) -> DataFrame:
     """fn takes each input column as a list, and returns each output column as a list; it sees `rows` rows at most at once."""
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = out = None
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 out = fn(*(c.to_pylist() for c in batch.slice(at, rows).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kinds, strict=True)], schema=kinds)
+        del batch, out
+        give_back()
 
     return df.mapInArrow(run, schema)
